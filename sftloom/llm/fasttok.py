@@ -62,11 +62,13 @@ class PairTable:
         return out
 
 
-def merge_all(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: PairTable, merged: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def merge_all(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, table: PairTable, merged: np.ndarray, order_of: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """BPE of every word at once; returns ids one word after the other, and the words' id counts.
 
     Words of one width advance together: each takes its best merge, and moves to the next smaller
-    width; words that have none are done.
+    width; words that have none are done. A pair's value in the table orders the merges, and is its
+    place in ``merged``; where merges of different pairs are worth the same, ``order_of`` (with NONE as
+    its last item) gives the order by place. The leftmost of equal ones comes first.
     """
     n = len(lengths)
     counts, done = np.zeros(n, np.int64), []
@@ -85,7 +87,7 @@ def merge_all(symbols: np.ndarray, starts: np.ndarray, lengths: np.ndarray, tabl
             counts[words] = 1
             done.append((words, now))
             break
-        at = rank.argmin(1)
+        at = (rank if order_of is None else order_of[np.minimum(rank, len(order_of) - 1)]).argmin(1)
         best = rank[np.arange(len(words)), at]
         stop = best == NONE
         if stop.any():

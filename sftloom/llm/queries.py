@@ -8,14 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .arrow import table
 from .packing import packed_digest
+from .pieces import round_trip
+from .tokencache import count_tokens, fresh_cache
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), fresh_cache(spark))
+
+
+def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_packing": op1_packing}
+    return {
+        "op1_packing": op1_packing,
+        "op8_token_counts": op8_token_counts,
+        "op10_sentencepiece": op10_sentencepiece,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
