@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrow import table
+from .bytecnn import fit_quality, score_documents
 from .packing import packed_digest
 from .pieces import round_trip
+from .rules import apply_rules, fit_rules
 from .tokencache import count_tokens, fresh_cache
 
 
@@ -16,6 +18,16 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), fresh_cache(spark))
 
@@ -27,6 +39,8 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op5_quality_rules": op5_quality_rules,
+        "op6_byte_cnn": op6_byte_cnn,
         "op8_token_counts": op8_token_counts,
         "op10_sentencepiece": op10_sentencepiece,
     }
