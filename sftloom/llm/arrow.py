@@ -62,6 +62,29 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
+def pieces(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+    """Slices of a column with about so many bytes, for bounded temporary arrays; a text is never cut."""
+    raw, ends = utf8(column)
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
+        yield column.slice(at, to - at)
+        at = to
+
+
+def sliced(most: int, column: str = "text") -> Step:
+    """Cut batches into ones with about so many bytes of text, for bounded temporary arrays."""
+
+    def step(batches: Batches) -> Batches:
+        for batch in batches:
+            at = 0
+            for part in pieces(batch.column(column).fill_null(""), most):
+                yield batch.slice(at, len(part))
+                at += len(part)
+
+    return step
+
+
 def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     """At most ``rows`` rows, the same ones for the same data: those whose key hashes lowest."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)

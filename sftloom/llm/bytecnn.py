@@ -24,8 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Batches, run, spans, utf8
-from .rules import pieces
+from .arrow import Batches, pieces, run, spans, utf8
 from .training import labelled_texts, platt, sigmoid
 
 WIDTH, FILTERS, EMBED, BLOCK, CHUNK = 6, 16, 8, 64, 4

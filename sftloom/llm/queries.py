@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .arrow import table
+from .audio import audio_digest
 from .bytecnn import fit_quality, score_documents
 from .packing import packed_digest
 from .pieces import round_trip
@@ -18,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio_digest(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
@@ -39,6 +44,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op3_audio": op3_audio,
         "op5_quality_rules": op5_quality_rules,
         "op6_byte_cnn": op6_byte_cnn,
         "op8_token_counts": op8_token_counts,

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import Batches, run, spans, strings, utf8
+from .arrow import Batches, pieces, run, spans, strings, utf8
 from .training import labelled_texts, platt, sigmoid
 
 BITS = 17
@@ -34,16 +34,6 @@ SYMBOL[list(b"#*$%&|<>")] = True
 POWERS = np.cumprod(np.full(64, 0x100000001B3, np.uint64), dtype=np.uint64)
 
 
-def pieces(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
-    """Slices of a column with about so many bytes, for bounded temporary arrays; a text is never cut."""
-    raw, ends = utf8(column)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
-        yield column.slice(at, to - at)
-        at = to
-
-
 def sums(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
     total = np.concatenate([[0], np.cumsum(values, dtype=np.float64 if values.dtype.kind == "f" else np.int64)])
     return total[ends[1:]] - total[ends[:-1]]
