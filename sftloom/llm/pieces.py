@@ -28,11 +28,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import Batches, data_path, run, spans, strings, utf8
+from .arrow import Batches, data_path, run, sliced, spans, strings, utf8
 from .fasttok import LONGEST, PairTable, merge_all
 
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
+SLICE = 6 << 20  # bytes of text that are encoded at once
 NORMAL, UNKNOWN, CONTROL, DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 BASE = np.uint64(0x100000001B3)
 ENCODED = "doc_id long, text string, ids array<int>"
@@ -310,10 +311,10 @@ def digest_batches(path: str):
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, text and ids of every document."""
-    return run(docs.select("doc_id", "text"), ENCODED, encode_batches(path or data_path("piece_bpe_32k.model")))
+    return run(docs.select("doc_id", "text"), ENCODED, sliced(SLICE), encode_batches(path or data_path("piece_bpe_32k.model")))
 
 
 def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """Encode and decode every document; what came out, described."""
     path = path or data_path("piece_bpe_32k.model")
-    return run(docs.select("doc_id", "text"), DIGEST, encode_batches(path), digest_batches(path))
+    return run(docs.select("doc_id", "text"), DIGEST, sliced(SLICE), encode_batches(path), digest_batches(path))
