@@ -13,6 +13,7 @@ from .packing import packed_digest
 from .pieces import round_trip
 from .rules import apply_rules, fit_rules
 from .tokencache import count_tokens, fresh_cache
+from .urls import fit_filter, judge_urls
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,11 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), fresh_cache(spark))
 
 
+def op9_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return judge_urls(pages, fit_filter(pages))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": op5_quality_rules,
         "op6_byte_cnn": op6_byte_cnn,
         "op8_token_counts": op8_token_counts,
+        "op9_url_filters": op9_url_filters,
         "op10_sentencepiece": op10_sentencepiece,
     }
 
