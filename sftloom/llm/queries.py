@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import chat
 from .arrow import table
 from .audio import audio_digest
 from .bytecnn import fit_quality, score_documents
@@ -20,6 +21,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(table(spark, sf_dir, "documents"))
 
 
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_digest(table(spark, sf_dir, "conversations"))
+
+
 def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digest(table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_packing": op1_packing,
+        "op2_chat_formatting": op2_chat_formatting,
         "op3_audio": op3_audio,
         "op5_quality_rules": op5_quality_rules,
         "op6_byte_cnn": op6_byte_cnn,
@@ -60,4 +66,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_chat_formatting": chat.ORACLE}
