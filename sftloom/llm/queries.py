@@ -15,6 +15,7 @@ from .pieces import round_trip
 from .rules import apply_rules, fit_rules
 from .tokencache import count_tokens, fresh_cache
 from .urls import fit_filter, judge_urls
+from .zivmerhav import score_corpus
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(docs, fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_corpus(table(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), fresh_cache(spark))
 
@@ -59,6 +64,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_audio": op3_audio,
         "op5_quality_rules": op5_quality_rules,
         "op6_byte_cnn": op6_byte_cnn,
+        "op7_cross_parsing": op7_cross_parsing,
         "op8_token_counts": op8_token_counts,
         "op9_url_filters": op9_url_filters,
         "op10_sentencepiece": op10_sentencepiece,
