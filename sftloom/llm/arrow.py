@@ -85,6 +85,18 @@ def sliced(most: int, column: str = "text") -> Step:
     return step
 
 
+def filtered(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], most: int = 4 << 20) -> DataFrame:
+    """Rows of ``df``, with all their columns, whose text ``keep`` says to keep; texts pass in slices of about ``most`` bytes."""
+
+    def step(batches: Batches) -> Batches:
+        for batch in batches:
+            good = [keep(part) for part in pieces(batch.column("text").fill_null(""), most)]
+            if good:
+                yield batch.filter(pa.array(np.concatenate(good)))
+
+    return df.mapInArrow(step, df.schema)
+
+
 def bounded_sample(df: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
     """At most ``rows`` rows, the same ones for the same data: those whose key hashes lowest."""
     return df.orderBy(F.xxhash64(key), key).limit(rows)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Batches, pieces, run, spans, utf8
+from .arrow import Batches, filtered, pieces, run, spans, utf8
 from .training import labelled_texts, platt, sigmoid
 
 WIDTH, FILTERS, EMBED, BLOCK, CHUNK = 6, 16, 8, 64, 4
@@ -187,3 +187,9 @@ def score_documents(docs: DataFrame, model: ByteCnn) -> DataFrame:
     """held_out, score and verdict of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return run(docs.select("doc_id", "text", held_out().alias("held_out")), SCHEMA, score_batches(shared))
+
+
+def keep_documents(docs: DataFrame, model: ByteCnn, least: float = 0.5) -> DataFrame:
+    """The documents, with all their columns, that score ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return filtered(docs, lambda text: shared.value.score(text, shared.value.tables()) >= least)

@@ -10,6 +10,7 @@ from . import chat
 from .arrow import table
 from .audio import audio_digest
 from .bytecnn import fit_quality, score_documents
+from .jaccard import near_duplicates
 from .packing import packed_digest
 from .pieces import round_trip
 from .rules import apply_rules, fit_rules
@@ -30,6 +31,10 @@ def op3_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels")))
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_packing": op1_packing,
         "op2_chat_formatting": op2_chat_formatting,
         "op3_audio": op3_audio,
+        "op4_ngram_jaccard": op4_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
         "op6_byte_cnn": op6_byte_cnn,
         "op7_cross_parsing": op7_cross_parsing,

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .arrow import Batches, pieces, run, spans, strings, utf8
+from .arrow import Batches, filtered, pieces, run, spans, strings, utf8
 from .training import labelled_texts, platt, sigmoid
 
 BITS = 17
@@ -215,3 +215,15 @@ def apply_rules(docs: DataFrame, model: NgramModel, least_words: int = LEAST_WOR
     """Base counts, probability and verdict of every document."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return run(docs.select("doc_id", "text"), SCHEMA, rule_batches(shared, least_words, most_repeated, least_probability))
+
+
+def keep_documents(docs: DataFrame, model: NgramModel, least_words: int = LEAST_WORDS, most_repeated: int = MOST_REPEATED, least_probability: float = LEAST_PROBABILITY) -> DataFrame:
+    """The documents, with all their columns, that pass the base rules and the regression."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def good(text: pa.Array) -> np.ndarray:
+        c = base_counts(text)
+        failed = (c["n_words"] < least_words) | (100 * c["n_repeat_words"] > most_repeated * c["n_words"])
+        return ~failed & (shared.value.probability(text) >= least_probability)
+
+    return filtered(docs, good)
