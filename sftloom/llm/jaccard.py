@@ -170,12 +170,8 @@ def set_batches(batches: Batches) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         text = batch.column("text").fill_null("")
         values, ends = shingles(text)
-        raw, at = utf8(text)
-        some = np.diff(at) > 0
-        hashes = np.zeros(len(text), np.uint64)
-        hashes[some] = span_hash(raw, at[:-1][some], at[1:][some])
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), fixed(keys(values, ends), 16), pa.array(np.diff(ends), pa.int32()), pa.array(hashes.view(np.int64)), fixed(sketches(values, ends), 4 * SKETCH)],
+            [batch.column("doc_id"), fixed(keys(values, ends), 16), pa.array(np.diff(ends), pa.int32()), batch.column("text_hash"), fixed(sketches(values, ends), 4 * SKETCH)],
             names=["doc_id", "node", "n", "text_hash", "sketch"],
         )
 
@@ -463,10 +459,14 @@ def exact_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, threshold:
     return degree, links.where("v is not null").select("u", "v")
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id, n_links and n_copies of every document."""
+def hashed(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("text_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """doc_id, text_hash, root (names the class), class_id, n_links and n_copies of every document."""
     store = Store(docs)
-    sets = store.keep(run(docs.select("doc_id", "text"), SETS, sliced(4 << 20), set_batches))
+    sets = store.keep(run(hashed(docs.select("doc_id", "text")), SETS, sliced(4 << 20), set_batches))
     by_text = sets.groupBy("node", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("sketch").alias("sketch"))
     nodes = store.keep(by_text.groupBy("node").agg(F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"), F.count("*").alias("n_texts"), F.first("sketch").alias("sketch")))
     edges = store.keep(candidates(nodes, threshold, recall, store))
@@ -474,20 +474,26 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float
     roots = components(forest, store.keep)
     named = nodes.select("node", "first_id", "rows", "n_texts").join(roots, "node", "left").join(degree, "node", "left")
     named = named.withColumn("root", F.coalesce("root", "node"))
-    classes = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    table = named.join(classes, "root").select("node", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
-    return sets.select("doc_id", "node").join(table, "node").select("doc_id", "class_id", "n_links", "n_copies")
+    least = named.groupBy("root").agg(F.min("first_id").alias("class_id"))
+    table = named.join(least, "root").select("node", "root", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n_texts") - 1).alias("n_links"), (F.col("rows") - 1).alias("n_copies"))
+    return sets.select("doc_id", "text_hash", "node").join(table, "node").drop("node")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """doc_id, class_id, n_links and n_copies of every document."""
+    return classes(docs, threshold, recall).select("doc_id", "class_id", "n_links", "n_copies")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """One document of each class, with all its columns: the lowest doc_id's, of rows that share it one.
+    """One document of each class, with all its columns: of the lowest doc_id, then of the lowest text hash.
 
-    Rows of one doc_id are numbered within it; a row without doc_id is left out only where it is a copy of,
-    or linked to, a row that stays. Texts move once, spread over all doc_ids.
+    A row without doc_id stays only where its class has none with one; of rows with the same doc_id and text one
+    stays. Texts move once, by doc_id and text hash, so that no key is hot but for such rows.
     """
-    found = near_duplicates(docs, threshold, recall)
-    ids = found.where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("stay")).distinct()
-    kept = docs.join(ids, docs.doc_id.eqNullSafe(ids.stay), "left_semi")
-    fields = [F.col(f"`{c}`") for c in docs.columns]
-    plain = kept.groupBy(F.col("doc_id").alias("stay")).agg(F.min(F.struct("text", *[c for c in fields])).alias("row"))
-    return plain.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+    found = classes(docs, threshold, recall)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("text_hash").alias("hash"))).alias("first")
+    stay = found.groupBy("root").agg(first).select("first.*").distinct()
+    whole = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("whole")  # its columns may have any names
+    marked = docs.select(whole, docs.doc_id.isNull().alias("null"), F.coalesce(docs.doc_id, F.lit(0)).alias("id"), F.xxhash64(F.coalesce(docs.text, F.lit(""))).alias("hash"))
+    kept = marked.join(stay, ["null", "id", "hash"], "left_semi").dropDuplicates(["null", "id", "hash"])
+    return kept.select("whole.*")
