@@ -62,7 +62,7 @@ def spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - before, lengths)
 
 
-def pieces(column: pa.Array, most: int = 4 << 20) -> Iterator[pa.Array]:
+def pieces(column: pa.Array, most: int = 512 << 10) -> Iterator[pa.Array]:
     """Slices of a column with about so many bytes, for bounded temporary arrays; a text is never cut."""
     raw, ends = utf8(column)
     at = 0
@@ -85,7 +85,7 @@ def sliced(most: int, column: str = "text") -> Step:
     return step
 
 
-def filtered(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], most: int = 4 << 20) -> DataFrame:
+def filtered(df: DataFrame, keep: Callable[[pa.Array], np.ndarray], most: int = 512 << 10) -> DataFrame:
     """Rows of ``df``, with all their columns, whose text ``keep`` says to keep; texts pass in slices of about ``most`` bytes."""
 
     def step(batches: Batches) -> Batches:

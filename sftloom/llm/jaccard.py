@@ -47,6 +47,7 @@ SKETCH, SHINGLE = 128, 3
 BRANCH, LIMIT, BLOCK, LEVELS, SLACK = 1.5, 200, 256, 6, 3.0
 DENSE = 0.8
 COLLECTED = 2_000_000  # node ids that may be sent to the scan; beyond it the texts are shuffled
+SLICE = 256 << 10  # bytes of text that are shingled at once, so that temporary arrays stay in the cache
 SETS = "doc_id long, node binary, n int, text_hash long, sketch binary"
 POWERS = np.cumprod(np.full(256, 0x100000001B3, np.uint64), dtype=np.uint64)
 LOW48 = np.uint64((1 << 48) - 1)
@@ -115,7 +116,9 @@ def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     owner, value = owner[order], value[order]
     while at < n:  # 65536 texts at a time fit beside 48 bits
         a, b = np.searchsorted(owner, [at, at + 65536])
-        key = np.unique(((owner[a:b] - at).astype(np.uint64) << np.uint64(48)) | value[a:b])
+        key = ((owner[a:b] - at).astype(np.uint64) << np.uint64(48)) | value[a:b]
+        key.sort()
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])] if len(key) else key
         out_docs.append((key >> np.uint64(48)).astype(np.int64) + at)
         out_values.append(key & LOW48)
         at += 65536
@@ -191,7 +194,7 @@ def split_batches(seeds: list[int] | None, threshold: float):
     def step(batches: Batches) -> Iterator[pa.RecordBatch]:
         place = np.arange(SKETCH, dtype=np.uint64) << np.uint64(32)
         for batch in batches:
-            tokens = unfixed(batch.column("sketch"), "<u4", SKETCH).astype(np.uint64) | place
+            tokens = unfixed(batch.column("sketch"), "<u2" if seeds is None else "<u4", SKETCH).astype(np.uint64) | place
             for seed in seeds or [None]:
                 base = mix(np.array([seed], np.uint64), 20)[:, None] if seed is not None else mix(batch.column("bucket").to_numpy().view(np.uint64), 21)[:, None]
                 chosen = mix(tokens ^ base, 22)
@@ -244,13 +247,20 @@ class Forest:
             self.edges.append((i, j))
 
 
+def short_batches(batches: Batches) -> Iterator[pa.RecordBatch]:
+    """Half of each place of the sketches: enough to compare two sketches and to split a bucket again."""
+    for batch in batches:
+        half = unfixed(batch.column("sketch"), "<u4", SKETCH).astype("<u2")
+        yield pa.RecordBatch.from_arrays([batch.column("node"), fixed(half, 2 * SKETCH)], names=["node", "sketch"])
+
+
 def estimate_batches(threshold: float):
     """Forest of the pairs of each tile whose sketches agree often enough."""
     least = math.ceil(SKETCH * (threshold - SLACK * math.sqrt(threshold * (1 - threshold) / SKETCH)))
 
     def step(batches: Batches) -> Iterator[pa.RecordBatch]:
         for batch, bounds in groups(batches, ["bucket", "lo", "hi"]):
-            sketch, side = unfixed(batch.column("sketch"), "<u4", SKETCH), batch.column("side").to_numpy()
+            sketch, side = unfixed(batch.column("sketch"), "<u2", SKETCH), batch.column("side").to_numpy()
             left, right = [], []
             for a, b in zip(bounds[:-1], bounds[1:]):
                 s, kind = sketch[a:b], side[a:b]
@@ -285,15 +295,15 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
         both.sort()
         common[0, 1] = common[1, 0] = (both[1:] == both[:-1]).sum()
     else:
-        row = np.repeat(np.arange(m), size.astype(np.int64))
-        _, token, many = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-        shared = many > 1
-        number = np.cumsum(shared) - 1
-        use = shared[token]
-        row, token = row[use], number[token[use]]
-        order = np.argsort(token, kind="stable")
-        row, token = row[order], token[order]
-        for first in range(0, int(shared.sum()), 8192):
+        row = np.repeat(np.arange(m, dtype=np.int32), size.astype(np.int64))
+        tokens = np.concatenate(sets)
+        order = np.argsort(tokens)
+        row, tokens = row[order], tokens[order]
+        new = np.concatenate([[True], tokens[1:] != tokens[:-1]])
+        alone = new & np.append(new[1:], True)
+        number = np.cumsum(new & ~alone) - 1
+        row, token = row[~alone], number[~alone]
+        for first in range(0, int(token[-1]) + 1 if len(token) else 0, 8192):
             a, b = np.searchsorted(token, [first, first + 8192])
             member = np.zeros((m, 8192), np.float32)
             member[row[a:b], token[a:b] - first] = 1
@@ -337,9 +347,9 @@ def exact_batches(threshold: float):
     return step
 
 
-def tiles(members: DataFrame, key: str, size: str) -> DataFrame:
+def tiles(members: DataFrame, key: str, size: str, block: int) -> DataFrame:
     """Each member in every tile of its block's row and column; side tells the blocks apart (2: one block)."""
-    blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / BLOCK).cast("int"))
+    blocks = F.greatest(F.lit(1), F.ceil(F.col(size) / block).cast("int"))
     own = F.pmod(F.xxhash64("node", key), blocks).cast("int")
     spread = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     lo, hi = F.least("own", "other"), F.greatest("own", "other")
@@ -400,26 +410,29 @@ def runs_for(threshold: float, recall: float, depth: int = 2) -> int:
 
 def candidates(nodes: DataFrame, threshold: float, recall: float, store: Store) -> DataFrame:
     """Pairs (u, v) that connect all nodes of each cluster."""
-    sketched = nodes.select("node", "sketch")
-    level = run(sketched, "bucket long, node binary", split_batches(list(range(runs_for(threshold, recall))), threshold))
-    found = None
+    level = run(nodes.select("node", "sketch"), "bucket long, node binary", split_batches(list(range(runs_for(threshold, recall))), threshold))
+    found = short = None
     for depth in range(LEVELS):
-        # where a hash of the bucket's members is the same, so are they: other runs often meet the same group
-        shared = level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+        # runs often meet the same group again: of buckets with the same members one is enough
+        shared = level.groupBy("bucket").agg(F.count("*").alias("size"), F.bit_xor(F.xxhash64("node")).alias("members")).where("size > 1")
+        shared = shared.groupBy("size", "members").agg(F.min("bucket").alias("bucket")).select("bucket", "size")
         level = store.keep(level.join(shared, "bucket"))
+        if short is None:  # only nodes that share a bucket are looked at again
+            some = level.select("node").distinct()
+            short = store.keep(run(nodes.select("node", "sketch"), "node binary, sketch binary", short_batches).join(some, "node", "left_semi"))
         small = level if depth == LEVELS - 1 else level.where(F.col("size") <= LIMIT)
         found = small if found is None else found.union(small)
         large = level.where(F.col("size") > LIMIT)
         if depth == LEVELS - 1 or large.isEmpty():
             break
-        large = large.join(sketched, "node")
-        sampled = F.array(*[F.substring("sketch", 4 * i + 1, 4) for i in range(0, SKETCH, SKETCH // 16)])
+        large = store.keep(large.join(short, "node"))
+        sampled = F.array(*[F.substring("sketch", 2 * i + 1, 2) for i in range(0, SKETCH, SKETCH // 16)])
         tokens = large.select("bucket", "size", F.posexplode(sampled).alias("place", "value")).groupBy("bucket", "size", "place", "value").agg(F.count("*").alias("c"))
         mean = F.sum(F.col("c").cast("double") * F.col("c")) / 16 / F.pow(F.first("size").cast("double"), 2)
         dense = store.keep(tokens.groupBy("bucket").agg(mean.alias("mean")).select("bucket", (F.col("mean") >= DENSE * threshold).alias("dense")))
         found = found.union(level.join(dense.where("dense").select("bucket"), "bucket"))
         level = run(large.join(dense.where("not dense").select("bucket"), "bucket").select("bucket", "node", "sketch"), "bucket long, node binary", split_batches(None, threshold)).distinct()
-    placed = tiles(found, "bucket", "size").join(sketched, "node").select("bucket", "lo", "hi", "side", "node", "sketch")
+    placed = tiles(found, "bucket", "size", 4 * BLOCK).join(short, "node").select("bucket", "lo", "hi", "side", "node", "sketch")
     placed = placed.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi", "node")
     return run(placed, "u binary, v binary", estimate_batches(threshold))
 
@@ -447,12 +460,12 @@ def exact_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, threshold:
                 if hit.any():
                     yield batch.filter(pa.array(hit))
 
-        sets = run(texts, "node binary, tokens binary", pick, sliced(4 << 20), token_batches)
+        sets = run(texts, "node binary, tokens binary", pick, sliced(SLICE), token_batches)
     else:
         texts = texts.join(wanted, texts.doc_id.eqNullSafe(wanted.first_id), "left_semi")
-        sets = run(texts, "node binary, tokens binary", sliced(4 << 20), token_batches)
+        sets = run(texts, "node binary, tokens binary", sliced(SLICE), token_batches)
     sets = sets.groupBy("node").agg(F.first("tokens").alias("tokens"))
-    placed = tiles(members.join(sets, "node"), "cluster", "size").select("cluster", "lo", "hi", "side", "node", "n_texts", "tokens")
+    placed = tiles(members.join(sets, "node"), "cluster", "size", BLOCK).select("cluster", "lo", "hi", "side", "node", "n_texts", "tokens")
     placed = placed.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi", "node")
     links = store.keep(run(placed, "u binary, v binary, links long", exact_batches(threshold)))
     degree = links.where("v is null").groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
@@ -466,10 +479,10 @@ def hashed(docs: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """doc_id, text_hash, root (names the class), class_id, n_links and n_copies of every document."""
     store = Store(docs)
-    sets = store.keep(run(hashed(docs.select("doc_id", "text")), SETS, sliced(4 << 20), set_batches))
-    by_text = sets.groupBy("node", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("sketch").alias("sketch"))
-    nodes = store.keep(by_text.groupBy("node").agg(F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"), F.count("*").alias("n_texts"), F.first("sketch").alias("sketch")))
-    edges = store.keep(candidates(nodes, threshold, recall, store))
+    sets = store.keep(run(hashed(docs.select("doc_id", "text")), SETS, sliced(SLICE), set_batches))
+    by_text = sets.groupBy("node", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
+    nodes = store.keep(by_text.groupBy("node").agg(F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"), F.count("*").alias("n_texts")))
+    edges = store.keep(candidates(store.keep(sets.groupBy("node").agg(F.first("sketch").alias("sketch"))), threshold, recall, store))
     degree, forest = exact_links(docs, nodes, edges, threshold, store)
     roots = components(forest, store.keep)
     named = nodes.select("node", "first_id", "rows", "n_texts").join(roots, "node", "left").join(degree, "node", "left")
