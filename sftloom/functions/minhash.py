@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PRIME = (1 << 61) - 1
@@ -48,17 +49,24 @@ def signatures(texts: list[list[str]], perm: int, seed: int) -> list[np.ndarray]
     return [table[c].min(0).astype(np.int64) if len(c) else np.zeros(perm, np.int64) for c in codes]
 
 
-def minhash_signature(tokens: Column, perm: int = 128, seed: int = 42, at_once: int = 512) -> Column:
-    """Signature of an array of tokens; all zeros for none."""
+def tokens(text: str | None, n: int = 3) -> list[str]:
+    """Character n-grams of the stripped, lower-cased text; a shorter text is its own, an empty one has none."""
+    t = (text or "").strip().lower()
+    return [t[i : i + n] for i in range(len(t) - n + 1)] or ([t] if t else [])
 
-    @F.pandas_udf("array<long>")
-    def udf(column: pd.Series) -> pd.Series:
-        out: list = []
-        for i in range(0, len(column), at_once):
-            out += signatures([list(t) if t is not None else [] for t in column.iloc[i : i + at_once]], perm, seed)
-        return pd.Series(out)
 
-    return udf(tokens)
+def signature_rows(df: DataFrame, key: str, content: Column | str, perm: int = 128, n: int = 3, seed: int = 42, at_once: int = 256) -> DataFrame:
+    """key and signature of each row; all zeros for an empty text."""
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, at_once):
+                part = batch.slice(i, at_once)
+                rows = signatures([tokens(t, n) for t in part.column(1).to_pylist()], perm, seed)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * perm), pa.array(np.concatenate(rows)))
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], names=["_ord", "signature"])
+
+    return df.select(F.col(key).cast("long"), content).mapInArrow(step, "_ord long, signature array<long>")
 
 
 def minhash_similarity(a: Column, b: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import string
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,14 @@ def _python(fn, kind: str):
     return udf
 
 
+_PLAIN = set(string.ascii_letters + string.digits + string.punctuation)
+
+
+def _special(s: str | None) -> float:
+    odd = sum(not (c in _PLAIN or c.isspace() or "\u4e00" <= c <= "\u9fff" or "\u3400" <= c <= "\u4dbf") for c in s or "")
+    return odd / len(s) if s else 0.0
+
+
 def _runs(s: str) -> int:
     best = now = 0
     before = None
@@ -43,10 +53,11 @@ def register(spark: SparkSession) -> list[str]:
     udfs = {
         "nfkc": text.nfkc,
         "copied_ratio": text.copied_ratio,
+        "special_char_ratio": _python(_special, "double"),
         "word_repetition_ratio": _python(_word_repetition, "double"),
         "char_repetition_ratio": _python(lambda s: _runs(s or "") / len(s) if s and _runs(s) >= 5 else 0.0, "double"),
         "ngram_diversity": _python(_diversity, "double"),
-        "minhash_signature": _python(lambda t: minhash.signatures([list(t) if t is not None else []], 128, 42)[0], "array<long>"),
+        "minhash_signature": _python(lambda t: minhash.signatures([minhash.tokens(t)], 128, 42)[0], "array<long>"),
     }
     for name, udf in udfs.items():
         spark.udf.register(name, udf)

@@ -9,10 +9,12 @@ from __future__ import annotations
 import difflib
 import string
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 SPACE = r"[\s\x1c-\x1f]"
 JOINER = "\x01"
@@ -28,12 +30,17 @@ def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; an expression that a lambda uses would be computed for each element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     """Both ends without white space."""
     return F.regexp_replace(col(text), rf"(?U)^{SPACE}+|{SPACE}+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Compatibility composition; Spark has no such function."""
     return text.map(lambda s: s if s is None or s.isascii() else unicodedata.normalize("NFKC", s))
@@ -72,15 +79,19 @@ def words(text: Column | str) -> Column:
 
 def _windows(items: Column, n: int, glue: str) -> Column:
     """Runs of n neighbours as strings; guarded, because sequence counts down."""
-    at = F.sequence(F.lit(0), F.size(items) - n)
-    run = F.transform(at, lambda i: F.concat_ws(glue, *[F.get(items, i + k) for k in range(n)]))
-    return F.when(F.size(items) >= n, run).otherwise(F.array().cast("array<string>"))
+    none = F.array().cast("array<string>")
+
+    def runs(x: Column) -> Column:
+        run = F.transform(F.sequence(F.lit(0), F.size(x) - n), lambda i: F.concat_ws(glue, *[F.get(x, i + k) for k in range(n)]))
+        return F.when(F.size(x) >= n, run).otherwise(none)
+
+    return let(items, runs)
 
 
 def word_repetition_ratio(text: Column | str, window: int = 5) -> Column:
     """Share of word windows that occurred before in the text."""
     runs = _windows(words(text), window, JOINER)
-    return F.when(F.size(runs) > 0, (F.size(runs) - F.size(F.array_distinct(runs))) / F.size(runs)).otherwise(0.0)
+    return let(runs, lambda r: F.when(F.size(r) > 0, (F.size(r) - F.size(F.array_distinct(r))) / F.size(r)).otherwise(0.0))
 
 
 def longest_run(text: Column | str) -> Column:
@@ -90,8 +101,8 @@ def longest_run(text: Column | str) -> Column:
 
 def char_repetition_ratio(text: Column | str, min_len: int = 5) -> Column:
     """Longest run of one character by length; 0 for runs below ``min_len``."""
-    t, run = col(text), longest_run(text)
-    return F.when(run >= min_len, run / F.length(t)).otherwise(0.0)
+    t = col(text)
+    return let(longest_run(t), lambda run: F.when(run >= min_len, run / F.length(t)).otherwise(0.0))
 
 
 def characters(text: Column) -> Column:
@@ -105,15 +116,14 @@ def ngrams(text: Column | str, n: int = 3, unit: str = "char") -> Column:
 
 def ngram_diversity(text: Column | str, n: int = 3, unit: str = "char") -> Column:
     """Distinct n-grams by all n-grams; 1 for shorter texts."""
-    runs = ngrams(text, n, unit)
-    return F.when(F.size(runs) > 0, F.size(F.array_distinct(runs)) / F.size(runs)).otherwise(1.0)
+    return let(ngrams(text, n, unit), lambda r: F.when(F.size(r) > 0, F.size(F.array_distinct(r)) / F.size(r)).otherwise(1.0))
 
 
 def shingles(text: Column | str, n: int = 3) -> Column:
     """Character n-grams in order; a shorter text is its own, an empty one has none."""
     t = F.lower(strip(text))
-    runs = _windows(characters(t), n, "")
-    return F.when(F.size(runs) > 0, runs).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
+    runs = let(t, lambda x: _windows(characters(x), n, ""))
+    return F.when(F.length(t) >= n, runs).when(F.length(t) > 0, F.array(t)).otherwise(F.array().cast("array<string>"))
 
 
 def strip_fences(text: Column | str) -> Column:
@@ -145,8 +155,7 @@ def refers_to_context(text: Column | str) -> Column:
 
 
 def is_refusal(text: Column | str) -> Column:
-    low = F.lower(col(text))
-    return F.exists(F.array(*map(F.lit, REFUSALS)), lambda p: F.contains(low, p))
+    return F.lower(col(text)).rlike("|".join(p.replace(".", r"\.") for p in REFUSALS))
 
 
 def length_ratio(evolved: Column | str, original: Column | str) -> Column:
@@ -159,7 +168,7 @@ def task_type(value: Column | str) -> Column:
     return F.when(v.isin(*TASK_TYPES), v).otherwise("other")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def copied_ratio(instruction: pd.Series, source: pd.Series) -> pd.Series:
     """Longest block of the instruction that the source has, by the instruction's length."""
 

@@ -348,8 +348,8 @@ WITH c AS (SELECT lang AS topic, count(*) AS w, row_number() OVER (ORDER BY lang
 r AS (SELECT *, greatest(1, round_even(100 * w / sum(w) OVER (), 0))::BIGINT AS share FROM c),
 n AS (SELECT topic, CASE WHEN k = topics THEN 100 - coalesce(sum(share) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) ELSE share END AS wanted FROM r),
 d AS (SELECT d.x AS difficulty, q.x AS question_type FROM (VALUES ('easy'), ('medium'), ('hard')) d(x), (VALUES ('what'), ('how'), ('why'), ('compare')) q(x)),
-o AS (SELECT topic, wanted, difficulty, question_type, row_number() OVER (PARTITION BY topic ORDER BY sha256('0|' || topic || '|' || difficulty || '|' || question_type)) - 1 AS at FROM n, d)
-SELECT topic, slot::INT AS slot, difficulty, question_type FROM (SELECT *, unnest(range(at::BIGINT, wanted::BIGINT, 12)) AS slot FROM o)""",
+o AS (SELECT topic, wanted, difficulty, question_type, row_number() OVER (PARTITION BY topic ORDER BY sha256('0|' || topic || '|' || difficulty || '|' || question_type)) - 1 AS pos FROM n, d)
+SELECT topic, slot::INT AS slot, difficulty, question_type FROM (SELECT *, unnest(range(pos::BIGINT, wanted::BIGINT, 12)) AS slot FROM o)""",
 }
 
 
