@@ -128,9 +128,11 @@ def shingles(text: Column | str, n: int = 3) -> Column:
 
 def strip_fences(text: Column | str) -> Column:
     """Without code-fence lines, where the text starts with a fence."""
-    t = strip(text)
-    kept = F.array_join(F.filter(F.split(t, "\n"), lambda line: ~strip(line).startswith("```")), "\n")
-    return F.when(t.startswith("```"), strip(kept)).otherwise(t)
+    def without(t: Column) -> Column:
+        kept = F.array_join(F.filter(F.split(t, "\n"), lambda line: ~strip(line).startswith("```")), "\n")
+        return F.when(t.startswith("```"), strip(kept)).otherwise(t)
+
+    return let(strip(text), without)
 
 
 def normalize_angle(text: Column | str) -> Column:
@@ -139,9 +141,14 @@ def normalize_angle(text: Column | str) -> Column:
 
 def clean_evolved(text: Column | str) -> Column:
     """Stripped; one pair of equal quotes around the text comes off, tried for each kind in turn."""
+
+    def peel(t: Column, q: str) -> Column:
+        quoted = lambda x: (F.length(x) >= 2) & x.startswith(q) & x.endswith(q)
+        return let(t, lambda x: F.when(quoted(x), strip(F.substring(x, F.lit(2), F.length(x) - 2))).otherwise(x))
+
     t = strip(text)
     for q in QUOTES:
-        t = F.when((F.length(t) >= 2) & t.startswith(q) & t.endswith(q), strip(F.substring(t, 2, F.length(t) - 2))).otherwise(t)
+        t = peel(t, q)
     return t
 
 

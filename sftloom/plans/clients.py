@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 Messages = Sequence[dict[str, str]]
 
@@ -127,7 +128,7 @@ def complete(prompts: DataFrame, client: Client, call: Call = Call(), messages:
 
     Replies differ from call to call, so callers write the result before they use it twice (``materialise``).
     """
-    schema = prompts.schema.add("reply", "string")
+    schema = StructType([*prompts.schema.fields, StructField("reply", StringType())])
     at = prompts.columns.index(messages)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
