@@ -19,8 +19,8 @@ from pyspark.sql.types import DoubleType, StringType
 SPACE = r"[\s\x1c-\x1f]"
 JOINER = "\x01"
 QUOTES = ('"', "'", "“", "”", "‘", "’")
-REFUSALS = ("sorry", "i cannot", "i can't", "unable to", "as an ai", "i am not able", "i'm not able", "not possible")
-TASK_TYPES = ("qa", "explanation", "analysis", "how_to", "comparison", "writing", "other")
+REFUSALS = tuple("as an ai|i am not able|i can't|i cannot|i'm not able|not possible|sorry|unable to".split("|"))
+TASK_TYPES = tuple("analysis comparison explanation how_to other qa writing".split())
 _HAN = "一-鿿㐀-䶿"
 _PLAIN = "".join(f"\\{c}" for c in string.punctuation)
 _INVISIBLE = [0xAD, 0x200B, 0x200E, 0x200F, *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A), 0xFEFF, 0xFFFD]
@@ -109,12 +109,12 @@ def characters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
 
 
-def ngrams(text: Column | str, n: int = 3, unit: str = "char") -> Column:
+def ngrams(text: Column | str, n: int, unit: str) -> Column:
     t = F.lower(strip(text))
     return _windows(characters(t), n, "") if unit == "char" else _windows(words(t), n, JOINER)
 
 
-def ngram_diversity(text: Column | str, n: int = 3, unit: str = "char") -> Column:
+def ngram_diversity(text: Column | str, n: int = 3, *, unit: str = "char") -> Column:
     """Distinct n-grams by all n-grams; 1 for shorter texts."""
     return let(ngrams(text, n, unit), lambda r: F.when(F.size(r) > 0, F.size(F.array_distinct(r)) / F.size(r)).otherwise(1.0))
 

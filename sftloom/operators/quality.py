@@ -53,7 +53,7 @@ class NgramDiversityRule:
     unit: str = "char"
 
     def __call__(self, instruction: Column, output: Column) -> Column:
-        return T.ngram_diversity(output, self.n, self.unit) >= self.min_diversity
+        return T.ngram_diversity(output, self.n, unit=self.unit) >= self.min_diversity
 
 
 @dataclass(frozen=True)

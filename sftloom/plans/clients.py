@@ -118,7 +118,7 @@ class HashEmbedder:
 class Call:
     """How prompts are sent: options for the client, retries, and calls at once in one task."""
 
-    options: dict[str, Any] = field(default_factory=lambda: {"temperature": 0.8, "max_tokens": 2048})
+    options: dict[str, Any] = field(default_factory=lambda: dict(max_tokens=2048, temperature=0.8))
     retry: Retry = Retry()
     concurrency: int = 4
 

@@ -10,11 +10,11 @@ from typing import Any
 
 @dataclass
 class Api:
-    model: str = "gpt-4o"
     api_key: str = ""
     base_url: str = ""
-    lang: str = "en"
     concurrency: int = 1
+    lang: str = "en"
+    model: str = "gpt-4o"
     params: dict[str, Any] = field(default_factory=dict)
     retry: dict[str, Any] = field(default_factory=dict)
 
@@ -28,56 +28,56 @@ class Strategy:
 
 @dataclass
 class Quality:
-    min_instruction_length: int = 5
+    dedup: bool = True
     max_instruction_length: int = 4000
-    min_output_length: int = 10
     max_output_length: int = 8000
-    dedup: bool = True
+    min_instruction_length: int = 5
+    min_output_length: int = 10
     remove_truncated: bool = True  # accepted, without effect
 
 
 @dataclass
 class Output:
-    path: str = "output.jsonl"
-    format: str = "alpaca"
-    multi_turn: bool = False
     checkpoint: bool = False
     checkpoint_path: str | None = None
+    format: str = "alpaca"
+    multi_turn: bool = False
+    path: str = "output.jsonl"
 
 
 @dataclass
 class Cleaner:
-    min_instruction_length: int = 5
+    embedding_batch_size: int = 20
+    embedding_dedup: bool = False
+    embedding_threshold: float = 0.85
+    field_map: dict[str, str] | None = None
+    input_format: str = "alpaca"
+    max_char_repetition: float = 0.5
     max_instruction_length: int = 4000
-    min_output_length: int = 10
     max_output_length: int = 8000
     max_special_char_ratio: float = 0.3
     max_word_repetition: float = 0.5
-    max_char_repetition: float = 0.5
+    min_instruction_length: int = 5
     min_ngram_diversity: float = 0.2
-    ngram_n: int = 3
-    ngram_unit: str = "char"
+    min_output_length: int = 10
     minhash_dedup: bool = True
-    minhash_threshold: float = 0.7
-    minhash_num_perm: int = 128
     minhash_ngram: int = 3
-    embedding_dedup: bool = False
-    embedding_threshold: float = 0.85
-    embedding_batch_size: int = 20
-    input_format: str = "alpaca"
-    field_map: dict[str, str] | None = None
+    minhash_num_perm: int = 128
+    minhash_threshold: float = 0.7
+    ngram_n: int = 3
+    ngram_unit: str = "char"
 
 
 @dataclass
 class Scoring:
-    enabled: bool = False
+    aggregation: str = "mean"
     concurrency: int = 3
     dimensions: list[Any] = field(default_factory=list)
-    min_total_score: float = 0.0
+    enabled: bool = False
     judges: list[Any] = field(default_factory=list)
-    aggregation: str = "mean"
-    min_judges: int = 1
     max_judge_disagreement: float = 0.0
+    min_judges: int = 1
+    min_total_score: float = 0.0
 
     def __post_init__(self) -> None:
         self.min_judges = max(1, int(self.min_judges))
@@ -91,7 +91,7 @@ class App:
     output: Output = field(default_factory=Output)
     cleaner: Cleaner = field(default_factory=Cleaner)
     scoring: Scoring = field(default_factory=Scoring)
-    stages: list[str] = field(default_factory=lambda: ["generate", "clean", "score", "score_filter"])
+    stages: list[str] = field(default_factory=lambda: "generate clean score score_filter".split())
     dry_run: bool = False
     count: int = 0
     random_seed: int | None = None

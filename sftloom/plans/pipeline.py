@@ -91,7 +91,7 @@ def generate(df: DataFrame | None, ctx: Context) -> DataFrame:
     parts = []
     for s in c.strategies:
         params = {"total_count": c.count or None, **ctx.inputs, **s.params}
-        parts.append(create_strategy(s.type, ctx.client, params, lang=c.api.lang, seed=c.random_seed or 0, call=Call(options={"temperature": 0.8, "max_tokens": 2048, **c.api.params}, concurrency=c.api.concurrency)))
+        parts.append(create_strategy(s.type, ctx.client, params, lang=c.api.lang, seed=c.random_seed or 0, call=Call(options=dict(max_tokens=2048, temperature=0.8) | c.api.params, concurrency=c.api.concurrency)))
     made = (parts[0] if len(parts) == 1 else Composite(parts)).generate(ctx.spark)
     made = made.withColumn("_ord", F.monotonically_increasing_id())
     made = materialise(quality.emit_gate(made))

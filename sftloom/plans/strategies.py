@@ -23,7 +23,7 @@ from .prompts import KEYS, labelled, prompt
 
 DIMENSIONS = {"difficulty": ["easy", "medium", "hard"], "question_type": ["what", "how", "why", "compare"]}
 DEPTH = ("add_constraints", "deepen", "concretise", "more_reasoning_steps", "complicate_input")
-PLAIN = Call(options={"temperature": 0.8, "max_tokens": 2048, "json_mode": False})
+PLAIN = Call(options=dict(json_mode=False, max_tokens=2048, temperature=0.8))
 
 
 def uniform(seed: int, *parts: Column | str) -> Column:

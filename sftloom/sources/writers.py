@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,8 +42,7 @@ def report_path(path: str) -> str:
 def save_report(report: dict, path: str) -> None:
     """A report is a few numbers; the driver writes it."""
     os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(report, f, ensure_ascii=False, indent=2)
+    Path(path).write_text(json.dumps(report, indent=2, ensure_ascii=False), "utf-8")
 
 
 class MemoryWriter:

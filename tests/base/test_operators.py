@@ -119,8 +119,8 @@ def test_chunking(spark):
 
 
 def test_shapes(spark):
-    messages = [{"role": "system", "content": "s"}, {"role": "user", "content": "u1"}, {"role": "tool", "content": "t"}, {"role": "assistant", "content": "a1"}, {"role": "user", "content": None}]
-    df = spark.createDataFrame([(1, messages), (2, [{"role": "system", "content": "only"}])], f"_ord long, messages {reshape.MESSAGES}")
+    messages = [dict(content=c, role=r) for r, c in (("system", "s"), ("user", "u1"), ("tool", "t"), ("assistant", "a1"), ("user", None))]
+    df = spark.createDataFrame([(1, messages), (2, [dict(content="only", role="system")])], f"_ord long, messages {reshape.MESSAGES}")
     (row,) = reshape.normalize_messages(df).collect()
     assert (row.instruction, row.output, row.system) == ("u1\n", "a1", "s")
     shared = reshape.format_records(df.where("_ord = 1"), "sharegpt").first().record.conversations
@@ -128,7 +128,7 @@ def test_shapes(spark):
     flat = spark.createDataFrame([("i", "o", "sys")], "instruction string, output string, system string")
     assert [m.role for m in reshape.format_records(flat, "chatml").first().record.messages] == ["system", "user", "assistant"]
     assert reshape.format_records(flat).first().record.instruction == "i"
-    mapped = reshape.map_fields(spark.createDataFrame([("q", "a", "z")], "question string, answer string, extra string"), {"question": "instruction", "answer": "output"})
+    mapped = reshape.map_fields(spark.createDataFrame([("q", "a", "z")], "question string, answer string, extra string"), dict(question="instruction", answer="output"))
     assert mapped.columns == ["instruction", "output"]
     back = reshape.rebuild_messages(df.where("_ord = 1")).first()
     assert [m.content for m in back.messages] == ["s", "u1", "t", "a1", None]

@@ -13,6 +13,10 @@ from sftloom.streaming import rules as streaming
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
 
 
+def turns(**said):
+    return [dict(content=text, role=role) for role, text in said.items()]
+
+
 @pytest.fixture
 def lines(tmp_path):
     def write(name, rows):
@@ -24,7 +28,7 @@ def lines(tmp_path):
 
 
 def test_readers(spark, lines):
-    path = lines("a.jsonl", [{"instruction": "i", "output": "o", "scores": {"q": "7", "z": "bad"}}, "", "{broken", {"messages": [{"role": "user", "content": "u"}, {"role": "assistant", "content": "a"}]}, {"instruction": "i2", "output": "", "response": "r"}, {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, {"instruction": "alone"}])
+    path = lines("a.jsonl", [{"instruction": "i", "output": "o", "scores": {"q": "7", "z": "bad"}}, "", "{broken", {"messages": turns(user="u", assistant="a")}, {"instruction": "i2", "output": "", "response": "r"}, {"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}, {"instruction": "alone"}])
     rows = readers.read_samples(spark, path).orderBy("_ord").collect()
     assert [r.instruction for r in rows] == ["i", "", "i2", "", "alone"] and rows[2].output == "r" and rows[0].scores == {"q": 7.0, "z": None}
     assert [m.role for m in rows[3].messages] == ["user", "assistant"]
@@ -32,7 +36,7 @@ def test_readers(spark, lines):
     assert readers.scorable(readers.read_samples(spark, path)).count() == 4
     assert readers.read_seeds(spark, path).count() == 4
     mapped = lines("b.jsonl", [{"question": "q", "answer": "a", "output": "no"}])
-    assert tuple(readers.read_samples(spark, mapped, {"question": "instruction", "answer": "output"}).select("instruction", "output").first()) == ("q", "a")
+    assert tuple(readers.read_samples(spark, mapped, dict(question="instruction", answer="output")).select("instruction", "output").first()) == ("q", "a")
 
 
 def test_documents(spark, lines):
@@ -80,7 +84,7 @@ def test_retry():
 
 
 def test_parsers(spark):
-    df = spark.createDataFrame([(1, '[{"instruction": " a ", "output": "b"}, {"instruction": ""}, 5]', "src"), (2, '{"candidates": [{"instruction": "c", "task_type": "Poem", "output": "ignored"}]}', " text "), (3, None, "s"), (4, '{"messages": [{"role": "user", "content": "u"}]}', "s")], "id int, reply string, text string")
+    df = spark.createDataFrame([(1, '[{"instruction": " a ", "output": "b"}, {"instruction": ""}, 5]', "src"), (2, '{"candidates": [{"instruction": "c", "task_type": "Poem", "output": "ignored"}]}', " text "), (3, None, "s"), (4, json.dumps({"messages": turns(user="u")}), "s")], "id int, reply string, text string")
     got = parsing.parse_samples(df).collect()
     assert {(r.id, r.instruction) for r in got} == {(1, "a"), (2, "c"), (4, "")}
     back = {r.id: r for r in parsing.parse_backtranslation(df).collect()}
