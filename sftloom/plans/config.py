@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import warnings
 from dataclasses import dataclass, field, fields
+from pathlib import Path
 from typing import Any
 
 
@@ -101,8 +102,8 @@ def _section(kind: type, given: dict[str, Any] | None) -> Any:
     given = dict(given or {})
     known = {f.name for f in fields(kind)}
     if kind is Strategy:
-        rest = {k: v for k, v in given.items() if k not in ("type", "weight", "params")}
-        return Strategy(given.get("type", "topic_driven"), float(given.get("weight", 1.0)), {**given.get("params", {}), **rest})
+        kind_, weight = given.pop("type", "topic_driven"), float(given.pop("weight", 1.0))
+        return Strategy(kind_, weight, given.pop("params", {}) | given)
     if kind is Cleaner and "dedup" in given:
         warnings.warn("cleaner.dedup is read as cleaner.minhash_dedup", stacklevel=2)
         given.setdefault("minhash_dedup", given.pop("dedup"))
@@ -128,11 +129,10 @@ def from_yaml(path: str) -> App:
 def load_environment(path: str = ".env") -> dict[str, str]:
     """NAME=value lines of a file; they override the process's environment."""
     out: dict[str, str] = {}
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            for line in f:
-                name, sign, value = line.strip().removeprefix("export ").partition("=")
-                if sign and name and not name.startswith("#"):
-                    out[name.strip()] = value.strip().strip("\"'")
+    text = Path(path).read_text("utf-8") if os.path.exists(path) else ""
+    for line in text.splitlines():
+        name, sign, value = line.strip().removeprefix("export ").partition("=")
+        if sign and name and not name.startswith("#"):
+            out[name.strip()] = value.strip().strip("\"'")
     os.environ.update(out)
     return out

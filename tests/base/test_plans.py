@@ -84,7 +84,7 @@ def test_retry():
 
 
 def test_parsers(spark):
-    df = spark.createDataFrame([(1, '[{"instruction": " a ", "output": "b"}, {"instruction": ""}, 5]', "src"), (2, '{"candidates": [{"instruction": "c", "task_type": "Poem", "output": "ignored"}]}', " text "), (3, None, "s"), (4, json.dumps({"messages": turns(user="u")}), "s")], "id int, reply string, text string")
+    df = spark.createDataFrame([(1, json.dumps([dict(output="b", instruction=" a "), dict(instruction=""), 5]), "src"), (2, '{"candidates": [{"instruction": "c", "task_type": "Poem", "output": "ignored"}]}', " text "), (3, None, "s"), (4, json.dumps({"messages": turns(user="u")}), "s")], "id int, reply string, text string")
     got = parsing.parse_samples(df).collect()
     assert {(r.id, r.instruction) for r in got} == {(1, "a"), (2, "c"), (4, "")}
     back = {r.id: r for r in parsing.parse_backtranslation(df).collect()}
