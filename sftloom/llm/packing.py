@@ -1,7 +1,7 @@
 """Hierarchical multi-length packing of tokenised documents.
 
 ``pack_batches`` works within a partition, as a stream: nothing is shuffled, and what waits for
-company is bounded by a few windows of each tier, whatever the input.
+company is bounded (``WAITING`` ids and one slice), whatever the input.
 
 1. A document's ids and its end id are cut into full windows of the longest tier while they last;
    what remains is routed to the shortest tier that holds it.
@@ -31,11 +31,13 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .arrow import Batches, data_path, run
+from .arrow import Batches, data_path, run, sliced
 from .fasttok import word_tokenizer
 
 TIERS = (512, 1024, 2048, 4096)
 GROUPS = 4
+SLICE = 8 << 20  # bytes of text that are tokenised at once
+WAITING = 8 << 20  # ids that wait before windows are filled, so that there is a choice of pieces
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, tier int, step_group long, ids array<int>"
 DIGEST = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, tier int, step_group long"
 
@@ -164,9 +166,10 @@ def pack_batches(path: str, end_id: int = 2, tiers: tuple[int, ...] = TIERS, gro
             ends = np.concatenate([[0], ends + np.arange(1, len(counts) + 1)])
             for i, doc_id in enumerate(batch.column("doc_id").to_pylist()):
                 packer.add(doc_id, whole[ends[i] : ends[i + 1]])
-            packer.drain()
+            if packer.pending >= WAITING:
+                packer.drain()
             for tier, held in packer.waiting.items():  # what stays must not hold the whole batch
-                packer.waiting[tier] = [(*p[:5], p[5].copy()) for p in held]
+                packer.waiting[tier] = [p if p[5].base is None else (*p[:5], p[5].copy()) for p in held]
             if full := packer.batch():
                 yield full
         packer.finish()
@@ -190,9 +193,9 @@ def digest_batches(batches: Batches) -> Iterator[pa.RecordBatch]:
 
 def pack_documents(docs: DataFrame, path: str | None = None, **options: object) -> DataFrame:
     """The pieces of all documents, each with its ids and its place in a sequence."""
-    return run(docs.select("doc_id", "text"), SCHEMA, pack_batches(path or data_path("word_bpe_49k.json"), **options))
+    return run(docs.select("doc_id", "text"), SCHEMA, sliced(SLICE), pack_batches(path or data_path("word_bpe_49k.json"), **options))
 
 
 def packed_digest(docs: DataFrame, path: str | None = None, **options: object) -> DataFrame:
     """``pack_documents`` with ids_crc32 in place of the ids, in the same pass."""
-    return run(docs.select("doc_id", "text"), DIGEST, pack_batches(path or data_path("word_bpe_49k.json"), **options), digest_batches)
+    return run(docs.select("doc_id", "text"), DIGEST, sliced(SLICE), pack_batches(path or data_path("word_bpe_49k.json"), **options), digest_batches)
