@@ -9,7 +9,7 @@ equal sets are one node, so exact copies cost one row however many they are. The
    expected, so that nodes that share tokens choose the same ones. Buckets of at most ``LIMIT`` nodes are compared by
    brute force; larger ones are split again, unless their mean similarity says that splitting would
    only copy them; runs are repeated until the expected recall at the threshold reaches ``recall``;
-3. compares buckets in tiles of ``BLOCK`` by ``BLOCK`` nodes, so that no task meets more, and keeps a spanning
+3. compares buckets in tiles of two blocks of ``4 * BLOCK`` nodes (``BLOCK`` in step 4), and keeps a spanning
    forest of the pairs whose estimate lies within ``SLACK`` standard deviations of the threshold or above;
    connected nodes make a cluster;
 4. computes the exact similarity of all pairs within each cluster from the whole sets, again in tiles. Links
