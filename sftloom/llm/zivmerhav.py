@@ -1,21 +1,18 @@
 """Ziv-Merhav cross-parsing: how far each text is from the rest of the corpus.
 
-The reference is a fixed share (1 in ``every``) of the segments of all texts, so it grows with the corpus. It
-is spread over shards of about ``shard_bytes``; each text is scored in one shard, chosen by the hash of its row, and
-its own segments go to other shards. The number of shards grows with the corpus, the work for each byte does
-not. Texts and segments meet in one shuffle by shard; a hash of the whole row spreads hot sources and null ids.
+The reference of a text is all other rows' texts, whole (``score_corpus``): its greedy phrases are the longest matches that
+occur in any of them, found by sorting the suffixes of the corpus (``suffixes``). A byte that does not occur elsewhere is a phrase.
 
-In each shard the longest matches of a suffix automaton factor a text greedily into phrases that occur in the
-reference (a byte that does not occur is a phrase). The automaton becomes a table of states by bytes, and all
-texts of a batch advance by one byte at a time together; the few longest go on one by one.
+With ``every`` set, the reference is a sample instead, 1 in ``every`` segments of all texts, spread over shards of about
+``shard_bytes``; each text is scored in one shard by a suffix automaton, and its own segments go to other shards. No query uses this.
 
     cross    = phrases * log2(reference bytes) / bytes
     own      = c * log2(c) / bytes, with c phrases of the text's own incremental (LZ78) parsing
     relative = cross - own, in bits a byte
 
-Cases: a null or empty text has 0 phrases and scores of 0; a shard without reference takes every byte for a
-phrase, with a factor of log2(2); repeated rows share a shard and score equally; long texts are cut into segments for the reference
-only, never for scoring; an empty table gives no rows; other columns are ignored.
+Cases: a null or empty text has 0 phrases and scores of 0; a text without reference (all others are empty) takes every byte for a phrase and has
+no scores (null); a text that another row has too is one phrase; equal texts score equally; an empty table gives no rows; other columns are
+ignored. In the sample, a shard without reference takes every byte for a phrase, with a factor of log2(2), and long texts are cut into segments for the reference only.
 """
 
 from __future__ import annotations
@@ -27,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import suffixes
 from .arrow import Batches, run, utf8
 
-EVERY, SHARD_BYTES, SEGMENT = 128, 128 << 10, 8192
+SHARD_BYTES, SEGMENT = 128 << 10, 8192
+PARSED = 4 << 20  # bytes of text that are parsed at once; a text is never cut
 SCHEMA = "doc_id long, n_bytes long, phrases long, own_phrases long, reference_bytes long, cross_bits double, relative_bits double"
 JOINT = 256  # between segments; no byte matches it
 FEW = 24
@@ -209,8 +208,46 @@ def with_reference(docs: DataFrame, shards: int, every: int) -> DataFrame:
     return segments.union(texts)
 
 
-def score_corpus(docs: DataFrame, every: int = EVERY, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """Phrase counts and scores of every document against the corpus."""
+def parse_batches(corpus: suffixes.Corpus):
+    """Scores of the texts that start in each slice."""
+
+    def step(batches: Batches) -> Iterator[pa.RecordBatch]:
+        text, starts, ids = corpus.text(), corpus.array("starts", "<i8"), corpus.array("ids", "<i8").reshape(-1, 2)
+        everything = corpus.size - corpus.docs
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                a, b = np.searchsorted(starts[:-1], [i * PARSED, (i + 1) * PARSED])
+                if a == b:
+                    continue
+                lo = int(starts[a])
+                ends = starts[a : b + 1] - lo
+                longest = suffixes.lengths(corpus, text, lo, int(starts[b]))
+                after = memoryview(np.arange(len(longest)) + np.maximum(longest, 1))
+                size, count, own = np.diff(ends) - 1, np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+                for k, (at, n) in enumerate(zip(ends.tolist(), size.tolist())):
+                    own[k] = own_phrases(text[lo + at : lo + at + n].tobytes())
+                    end, found = at + n, 0
+                    while at < end:
+                        at = after[at]
+                        found += 1
+                    count[k] = found
+                others, least = everything - size, np.maximum(size, 1)
+                cross = count * np.log2(np.maximum(2, others)) / least
+                relative = cross - own * np.log2(np.maximum(own, 1)) / least
+                unknown = (others == 0) & (size > 0)
+                columns = [pa.array(np.array(ids[a:b, 0]), mask=ids[a:b, 1] != 0), pa.array(size), pa.array(count), pa.array(own), pa.array(others), pa.array(cross, mask=unknown), pa.array(relative, mask=unknown)]
+                yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCHEMA.split(", ")])
+
+    return step
+
+
+def score_corpus(docs: DataFrame, every: int | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """Phrase counts and scores of every document against all others, or with ``every`` against a sample."""
+    if every is None:
+        corpus = suffixes.build(docs)
+        if not corpus.size:
+            return docs.sparkSession.createDataFrame([], SCHEMA)
+        return run(corpus.slices(docs.sparkSession, PARSED), SCHEMA, parse_batches(corpus))
     shards = shards_of(docs, every, shard_bytes)
     rows = with_reference(docs, shards, every)
     placed = rows.repartitionById(shards, F.col("shard")).sortWithinPartitions("shard", "kind", "h", "doc_id", "text")
