@@ -134,7 +134,7 @@ def near_dup_greedy_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
 def similarity_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("_ord", F.col("doc_id"))
     dedup.checkpoints(spark)
-    rows = dedup.similarity_profile(dedup.signatures(docs).checkpoint(), lowest=0.5)[1]
+    rows = dedup.similarity_profile(dedup.signatures(docs).checkpoint())[1]
     return rows.select(F.col("_ord").alias("doc_id"), "max_similarity", "near_duplicate")
 
 
