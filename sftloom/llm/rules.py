@@ -6,7 +6,8 @@ scores are turned into probabilities on a fifth of the sample that it was not fi
 scored in Arrow batches against fixed thresholds.
 
 Base counts are exact: words are ``[^\\x20\\x09-\\x0D]+``; three-word windows are compared by the words'
-numbers in the batch, packed into 63 bits, never by hashes.
+numbers in the batch, packed into 63 bits, or by those of the first pair and the third word where a slice has more than
+2^21 different words; never by hashes.
 
 Cases: a null or empty text has no words, counts of 0, and fails the base rules; equal texts have
 equal results; an empty table gives no rows; other columns are ignored; without labels of both kinds
@@ -66,8 +67,6 @@ def base_counts(column: pa.Array) -> dict[str, np.ndarray]:
     sized = stop - start
     words = strings(raw[spans(start, sized)], np.concatenate([[0], np.cumsum(sized)])).dictionary_encode()
     code = np.asarray(words.indices).astype(np.uint64)
-    if len(words.dictionary) >= 1 << 21:
-        raise ValueError("too many distinct words in one slice")
     out["n_repeat_words"] = repeats(code, doc, n)
     # lines with a word that equal an earlier line of their text
     cut = np.flatnonzero(raw == 10)
@@ -96,7 +95,12 @@ def repeats(code: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Words of each text that lie in a window of three words found twice or more in it."""
     if len(code) < 3:
         return np.zeros(n, np.int64)
-    key = (code[:-2] << np.uint64(42)) | (code[1:-1] << np.uint64(21)) | code[2:]
+    kinds = int(code.max()) + 1
+    if kinds <= 1 << 21:
+        key = (code[:-2] << np.uint64(42)) | (code[1:-1] << np.uint64(21)) | code[2:]
+    else:  # pairs of words are numbered first
+        pair = np.unique(code[:-1] * np.uint64(kinds) + code[1:], return_inverse=True)[1].astype(np.uint64)
+        key = pair[:-1] * np.uint64(kinds) + code[2:]
     at = np.flatnonzero(doc[2:] == doc[:-2])
     at = at[np.argsort(key[at], kind="stable")]
     again = np.zeros(len(at), bool)

@@ -38,6 +38,14 @@ def test_base_counts_equal_brute_force():
         assert counts(texts) == [brute(t) for t in texts]
 
 
+def test_any_number_of_different_words():
+    text = " ".join(map(str, range((1 << 21) + 5))) + " a b c d a b c 5 6 7"
+    assert counts(["x y z x y z", text])[1][4] == 12 and counts(["x y z x y z", text])[0][4] == 6
+    rnd = np.random.default_rng(1)
+    code, doc = rnd.integers(0, 6, 3000).astype(np.uint64), np.sort(rnd.integers(0, 40, 3000))
+    assert rules.repeats(code << np.uint64(28), doc, 40).tolist() == rules.repeats(code, doc, 40).tolist()
+
+
 def test_slices_and_scores_do_not_depend_on_neighbours():
     rnd = random.Random(4)
     texts = [" ".join(rnd.choices(["aa", "bé", "c!", "dd\n"], k=rnd.randrange(90))) for _ in range(300)]
