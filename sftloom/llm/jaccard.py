@@ -8,7 +8,8 @@ equal sets are one node, so exact copies cost one row however many they are. The
    chooses, by a hash of the bucket, each token with a probability that makes ``BRANCH / threshold`` of them
    expected, so that nodes that share tokens choose the same ones. Buckets of at most ``LIMIT`` nodes are compared by
    brute force; larger ones are split again, unless their mean similarity says that splitting would
-   only copy them; runs are repeated until the expected recall at the threshold reaches ``recall``;
+   only copy them; there are so many runs that the expected recall at the threshold reaches ``recall`` for pairs that are split
+   ``LEVELS`` times, as often as any;
 3. compares buckets in tiles of two blocks of ``4 * BLOCK`` nodes (``BLOCK`` in step 4), and keeps a spanning
    forest of the pairs whose estimate lies within ``SLACK`` standard deviations of the threshold or above;
    connected nodes make a cluster;
@@ -400,8 +401,8 @@ def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> Data
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def runs_for(threshold: float, recall: float, depth: int = 2) -> int:
-    """Runs after which a pair at the threshold has met with the wanted probability, if it is split ``depth`` times in each."""
+def runs_for(threshold: float, recall: float, depth: int = LEVELS) -> int:
+    """Runs after which a pair at the threshold has met with the wanted probability, if it is split ``depth`` times in each; buckets are split ``LEVELS`` times at most."""
     meet = 1.0
     for _ in range(depth):
         meet = 1 - math.exp(-BRANCH * meet)

@@ -109,3 +109,23 @@ def test_components(spark):
     rnd.shuffle(edges)
     got = dict(tuple(bytes(x) for x in r) for r in jaccard.components(spark.createDataFrame(edges, "u binary, v binary"), lambda d: d.checkpoint()).collect())
     assert got == {**{f"{a:03d}".encode(): b"000" for a in range(41)}, **{b"1%02d" % i: b"100" for i in range(30)}}
+
+
+def test_recall_of_deep_splits():
+    """Pairs at the threshold, split as often as buckets can be."""
+    rnd, pairs = np.random.default_rng(5), 3000
+    left, right = rnd.integers(0, 2**32, (2, pairs, jaccard.SKETCH), dtype=np.uint32)
+    sketch = np.concatenate([left, np.where(rnd.random(left.shape) < 0.5, left, right)])
+    nodes = np.stack([np.arange(2 * pairs, dtype=np.uint64)] * 2, 1)
+    batch = pa.RecordBatch.from_arrays([jaccard.fixed(nodes, 16), jaccard.fixed(sketch, 4 * jaccard.SKETCH)], names=["node", "sketch"])
+    seeds = list(range(jaccard.runs_for(0.5, 0.99)))
+    for level in range(jaccard.LEVELS):
+        rows = list(jaccard.split_batches(None if level else seeds, 0.5)(iter([batch])))
+        bucket = np.concatenate([r.column("bucket").to_numpy() for r in rows])
+        node = np.concatenate([jaccard.unfixed(r.column("node"), "<u8", 2)[:, 0] for r in rows]).astype(np.int64)
+        found = np.unique(np.stack([bucket, node % pairs, node], 1), axis=0)
+        both = np.flatnonzero((found[1:, :2] == found[:-1, :2]).all(1))
+        found = found[np.concatenate([both, both + 1])]
+        at = found[:, 2]
+        batch = pa.RecordBatch.from_arrays([pa.array(found[:, 0]), jaccard.fixed(nodes[at], 16), jaccard.fixed(sketch[at].astype("<u2"), 2 * jaccard.SKETCH)], names=["bucket", "node", "sketch"])
+    assert len(set((found[:, 1]).tolist())) >= 0.987 * pairs
