@@ -47,6 +47,7 @@ THRESHOLD, RECALL = 0.5, 0.99
 SKETCH, SHINGLE = 128, 3
 BRANCH, LIMIT, BLOCK, LEVELS, SLACK = 1.5, 200, 256, 6, 3.0
 DENSE = 0.8
+TILED = 64 << 20  # bytes of whole sets in a block of the exact step
 COLLECTED = 2_000_000  # node ids that may be sent to the scan; beyond it the texts are shuffled
 SLICE = 256 << 10  # bytes of text that are shingled at once, so that temporary arrays stay in the cache
 SETS = "doc_id long, node binary, n int, text_hash long, sketch binary"
@@ -206,6 +207,22 @@ def split_batches(seeds: list[int] | None, threshold: float):
     return step
 
 
+def joined(a: pa.RecordBatch, b: pa.RecordBatch) -> pa.RecordBatch:
+    """One batch of both; binary columns get wide offsets where they would pass 2 GiB."""
+    kinds = []
+    for name in a.schema.names:
+        kind = a.column(name).type
+        if pa.types.is_large_binary(kind) or pa.types.is_large_binary(b.column(name).type) or pa.types.is_binary(kind) and a.column(name).nbytes + b.column(name).nbytes >= 2**31 - 1:
+            kind = pa.large_binary()
+        kinds.append(pa.field(name, kind))
+    schema = pa.schema(kinds)
+    one = pa.Table.from_batches([a]).cast(schema).to_batches() + pa.Table.from_batches([b]).cast(schema).to_batches()
+    out = pa.Table.from_batches(one, schema).combine_chunks().to_batches()
+    if len(out) != 1:
+        raise ValueError("rows of a group do not fit one batch")
+    return out[0]
+
+
 def groups(batches: Batches, names: list[str]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches of whole groups, and the groups' bounds; rows come sorted by ``names``."""
     rest = None
@@ -213,7 +230,7 @@ def groups(batches: Batches, names: list[str]) -> Iterator[tuple[pa.RecordBatch,
         if not batch.num_rows:
             continue
         if rest is not None:
-            batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            batch = joined(rest, batch)
         new = np.zeros(batch.num_rows, bool)
         new[0] = True
         for name in names:
@@ -441,8 +458,11 @@ def candidates(nodes: DataFrame, threshold: float, recall: float, store: Store)
 def exact_links(docs: DataFrame, nodes: DataFrame, edges: DataFrame, threshold: float, store: Store) -> tuple[DataFrame, DataFrame]:
     """Number of linked texts by node, and a spanning forest of all links."""
     clusters = components(edges, store.keep)
-    sizes = clusters.groupBy("root").agg(F.count("*").alias("size"))
-    members = store.keep(clusters.join(sizes, "root").join(nodes.select("node", "first_id", "n_texts"), "node").select("node", F.col("root").alias("cluster"), "size", "first_id", "n_texts"))
+    clusters = store.keep(clusters.join(nodes.select("node", "first_id", "n_texts", "n"), "node"))
+    # as many blocks as the rows or the bytes ask for
+    heavy = F.ceil(F.sum("n") * 8 / TILED) * BLOCK
+    sizes = clusters.groupBy("root").agg(F.greatest(F.count("*"), heavy).alias("size"))
+    members = store.keep(clusters.join(sizes, "root").select("node", F.col("root").alias("cluster"), "size", "first_id", "n_texts"))
     texts = docs.select("doc_id", "text")
     wanted = members.select("first_id").distinct()
     if wanted.count() <= COLLECTED:
@@ -481,8 +501,8 @@ def classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """doc_id, text_hash, root (names the class), class_id, n_links and n_copies of every document."""
     store = Store(docs)
     sets = store.keep(run(hashed(docs.select("doc_id", "text")), SETS, sliced(SLICE), set_batches))
-    by_text = sets.groupBy("node", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"))
-    nodes = store.keep(by_text.groupBy("node").agg(F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"), F.count("*").alias("n_texts")))
+    by_text = sets.groupBy("node", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"))
+    nodes = store.keep(by_text.groupBy("node").agg(F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"), F.count("*").alias("n_texts"), F.first("n").alias("n")))
     edges = store.keep(candidates(store.keep(sets.groupBy("node").agg(F.first("sketch").alias("sketch"))), threshold, recall, store))
     degree, forest = exact_links(docs, nodes, edges, threshold, store)
     roots = components(forest, store.keep)

@@ -129,3 +129,22 @@ def test_recall_of_deep_splits():
         at = found[:, 2]
         batch = pa.RecordBatch.from_arrays([pa.array(found[:, 0]), jaccard.fixed(nodes[at], 16), jaccard.fixed(sketch[at].astype("<u2"), 2 * jaccard.SKETCH)], names=["bucket", "node", "sketch"])
     assert len(set((found[:, 1]).tolist())) >= 0.987 * pairs
+
+
+def test_groups_past_2_gib_keep_all_rows():
+    big = pa.array([b"\0" * 1_100_000_000], pa.binary())
+    rows = [pa.RecordBatch.from_arrays([pa.array([7]), pa.array([i]), big], names=["cluster", "row", "tokens"]) for i in range(3)]
+    found = list(jaccard.groups(iter(rows), ["cluster"]))
+    assert [(b.column("row").to_pylist(), bounds.tolist()) for b, bounds in found] == [([0, 1, 2], [0, 3])]
+
+
+def test_tiles_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILED", 4096)
+    seen = []
+    whole = jaccard.tiles
+    monkeypatch.setattr(jaccard, "tiles", lambda members, key, size, block: seen.append((key, members)) or whole(members, key, size, block))
+    docs = list(enumerate(family(random.Random(6), 200, 12, 0.03)))
+    got = sorted((tuple(r) for r in jaccard.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string")).collect()), key=str)
+    assert got == expected(docs)
+    members = next(m for key, m in seen if key == "cluster").collect()
+    assert len(members) == 12 and {m["size"] for m in members} == {-(-sum(8 * len(m.tokens) // 8 for m in members) // 4096) * jaccard.BLOCK}
