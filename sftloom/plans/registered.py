@@ -126,6 +126,12 @@ def minhash_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.select(F.col("_ord").alias("doc_id"), F.posexplode(F.slice("signature", 1, 4)).alias("perm", "value")).withColumn("perm", F.col("perm").cast("long"))
 
 
+def minhash_signatures_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All permutations of every document's signature."""
+    signed = dedup.signatures(table(spark, sf_dir, "documents").withColumn("_ord", F.col("doc_id")))
+    return signed.select(F.col("_ord").alias("doc_id"), F.posexplode("signature").alias("perm", "value")).withColumn("perm", F.col("perm").cast("long"))
+
+
 def near_dup_greedy_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("_ord", F.col("doc_id"))
     return dedup.MinHashDedup()(docs, F.col("text")).select("doc_id")
@@ -258,7 +264,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         text_quality_by_lang, text_measures, rule_filter, length_distribution, length_histogram, source_frequency_topk, exact_dedup, conversation_dedup, conversation_flatten, format_chatml, format_sharegpt,
-        judge_transcript, minhash_signatures, near_dup_greedy_survivors, similarity_profile, semantic_pairs, semantic_dedup, sentence_segments, structure_chunks, normalized_text, judge_aggregate, judge_median,
+        judge_transcript, minhash_signatures, minhash_signatures_all, near_dup_greedy_survivors, similarity_profile, semantic_pairs, semantic_dedup, sentence_segments, structure_chunks, normalized_text, judge_aggregate, judge_median,
         score_filter, score_distributions, parse_props_json, plan_slots, context_reference_filter, length_ratio_filter, angle_dedup, execution_batches, backtranslation_documents, cosine_to_label_mean,
     )
 }

@@ -20,3 +20,14 @@ def test_similarity_profile_equals_brute_force(spark, sf):
     assert any(0 < w < 0.5 for w in want.values())
     got = {r.doc_id: (r.max_similarity, r.near_duplicate) for r in registered.similarity_profile(spark, sf).collect()}
     assert got == {i: (w, w >= 0.7) for i, w in want.items()}
+
+
+def test_whole_signatures_equal_integer_arithmetic(spark, sf):
+    rows = [r for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    got = {(r.doc_id, r.perm): r.value for r in registered.minhash_signatures_all(spark, sf).collect()}
+    assert len(got) == 128 * len(rows)
+    a, b = ([int(x) for x in c] for c in minhash.coefficients(128, 42))
+    for r in sorted(rows, key=lambda r: len(r.text or ""))[:40]:
+        hashes = [minhash.token_hash(t, 42) % minhash.PRIME for t in set(minhash.tokens(r.text))]
+        for k in range(128):
+            assert got[r.doc_id, k] == min(((a[k] * h + b[k]) % minhash.PRIME for h in hashes), default=0)
