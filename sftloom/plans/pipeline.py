@@ -226,7 +226,7 @@ def report(rows: DataFrame, counts: dict[str, dict[str, Any]], seconds: float =
         out["score_retention"] = profile.retention(counts["score_filter"]["kept"], counts["score_filter"]["dropped"])
     for key in ("strategy", "topic"):
         if key in rows.columns:
-            out[f"by_{key}"] = {r[0]: r[1] for r in profile.frequency(rows, key, top=1000).collect()}
+            out[f"by_{key}"] = {r[0]: r[1] for r in profile.frequency(rows, key).collect()}
     sized = rows.select(T.safe_length("instruction").alias("instruction"), T.safe_length("output").alias("output"))
     out["lengths"] = {c: _row(profile.distribution(sized, c)) for c in sized.columns}
     if "scores" in rows.columns:

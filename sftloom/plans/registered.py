@@ -214,7 +214,7 @@ def parse_props_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Slots for 100 items by language, in proportion to the documents."""
-    counted = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(1000).collect()
+    counted = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").collect()
     counts = strategies.apportion(100, [r.n for r in counted])
     return strategies.plan_slots(spark, [r.lang for r in counted], counts)
 

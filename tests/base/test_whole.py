@@ -31,3 +31,9 @@ def test_whole_signatures_equal_integer_arithmetic(spark, sf):
         hashes = [minhash.token_hash(t, 42) % minhash.PRIME for t in set(minhash.tokens(r.text))]
         for k in range(128):
             assert got[r.doc_id, k] == min(((a[k] * h + b[k]) % minhash.PRIME for h in hashes), default=0)
+
+
+def test_slots_of_all_languages(spark, tmp_path):
+    spark.range(1100).selectExpr("id as doc_id", "format_string('l%04d', id) as lang").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(r.topic for r in registered.plan_slots(spark, str(tmp_path)).collect())
+    assert got == [f"l{i:04d}" for i in range(1099)]  # one each; nothing is left for the last
