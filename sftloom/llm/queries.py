@@ -10,13 +10,13 @@ from . import chat
 from .arrow import table
 from .audio import audio_digest
 from .bytecnn import fit_quality, score_documents
+from .crossparse import score_words
 from .jaccard import near_duplicates
 from .packing import packed_digest
 from .pieces import round_trip
 from .rules import apply_rules, fit_rules
 from .tokencache import count_tokens, fresh_cache
 from .urls import fit_filter, judge_urls
-from .zivmerhav import score_corpus
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,7 +46,7 @@ def op6_byte_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_cross_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_corpus(table(spark, sf_dir, "documents"))
+    return score_words(table(spark, sf_dir, "documents"))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
