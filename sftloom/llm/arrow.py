@@ -117,6 +117,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def written(df: DataFrame, path: str, *by: str) -> None:
+    """Write a table, and let go of the shuffle files of its own plan at once; a lost executor costs a rerun of this plan only while it runs."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key)
+    conf.set(key, "true")
+    try:
+        (df.write.partitionBy(*by) if by else df.write).parquet(path)
+    finally:
+        conf.set(key, before)
+
+
 def data_path(name: str) -> str:
     """The tokenizers' public vocabulary files."""
     import public_tokenizers

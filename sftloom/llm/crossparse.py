@@ -8,8 +8,8 @@ a phrase of its own. Which matches exist is found without bringing texts togethe
 2. texts are cut into slices of whole texts. Each slice sends the hashes of its different grams of a length, once each, in one binary
    for each bucket of hashes, with a bit for those that two of its texts have. A bucket's grams that come from two slices, or have
    the bit, are shared; the answer is one bit a gram. However hot a gram is, a slice sends it once;
-3. lengths rise over the jobs; a gram is only sent if the shorter ones in it are shared (from 5 words on few are), and from 8 words
-   on only the stretches that are still shared travel. Lengths are 1 to 16 one by one, then four to an octave: longer
+3. lengths rise over the jobs; a gram is only sent if the shorter ones in it are shared (from 5 words on few are), and only the
+   stretches that are still shared travel on. Lengths are 1 to 16 one by one, then four to an octave: longer
    phrases are cut to 20, 24, 28, 32, 40, ... words;
 4. each slice parses its texts with the lengths found.
 
@@ -18,8 +18,8 @@ a phrase of its own. Which matches exist is found without bringing texts togethe
     relative = cross - own, in bits a symbol
 
 A suffix automaton of the corpus (``zivmerhav``, which the tests hold this against) gives the same longest matches, but cannot be cut into tasks:
-matches may lie anywhere. Work and bytes moved are linear in the symbols; a slice holds 4 MB of text, or one text if that is longer.
-Grams are told apart by 48 bits and their bucket, texts by 128.
+matches may lie anywhere. Work and bytes moved are linear in the symbols; a slice holds 2 MB of text, or one text if that is longer.
+Symbols are told apart by 48 bits, grams by 48 and their bucket, texts by 128.
 
 Cases: a null or empty text, or one of white space alone, has 0 phrases and scores of 0; a text without reference (all others have no symbols) takes
 every symbol for a phrase and has no scores (null); equal texts score equally; repeated rows are copies; a null doc_id keeps
@@ -28,7 +28,6 @@ its row; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-import gc
 import uuid
 from collections.abc import Iterator
 
@@ -38,13 +37,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Batches, run, shared_dir, sliced, spans, utf8
+from .arrow import Batches, pieces, run, shared_dir, sliced, spans, utf8, written
 from .jaccard import mix, span_hash
 
-SLICE, BUCKET = 4 << 20, 1 << 21
+SLICE, BUCKET = 2 << 20, 1 << 21
 LENGTHS = [*range(1, 17), *(2**k * m // 4 for k in range(4, 31) for m in (5, 6, 7, 8))]
-JOBS = [(1, 2), (3, 3), (4, 4), (5, 8)]  # first and last length, counted from 1; then four at a time
-COMPACT = 8
+JOBS = [(1, 2), (3, 4), (5, 8), (9, 12), (13, 20)]  # first and last length, counted from 1; then eight at a time
 META, LIVE, DONE, BITS = range(4)
 ROW = "kind int, slice long, bucket long, n long, bits binary, keys binary, own binary, bounds binary, at binary, owner binary, vocab binary, codes binary, level binary"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
@@ -58,6 +56,52 @@ LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC3, 0xE0)]] =
 LOW48 = np.uint64((1 << 48) - 1)
 
 
+def pack(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each value, one byte plane after the other, compressed; the size comes first."""
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize)[:, :width].T).tobytes()
+    return len(values).to_bytes(8, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def unpack(blob: memoryview, kind: str, width: int) -> np.ndarray:
+    n = int.from_bytes(blob[:8], "little")
+    out = np.zeros((n, np.dtype(kind).itemsize), np.uint8)
+    if n:
+        out[:, :width] = np.frombuffer(pa.decompress(blob[8:], n * width, "zstd"), np.uint8).reshape(width, n).T
+    return out.view(kind)[:, 0]
+
+
+def ordered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in the order of the values, equal ones in their own order, and the values so ordered.
+
+    High bits are sorted with the place below them, which is far cheaper than sorting places.
+    """
+    if not len(values):
+        return np.zeros(0, np.int64), values
+    low = np.uint64((1 << len(values).bit_length()) - 1)
+    both = (values & ~low) | np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    order = (both & low).astype(np.int64)
+    sort = values[order]
+    if (sort[1:] < sort[:-1]).any():  # two values with the same high bits
+        order = np.argsort(values, kind="stable")
+        sort = values[order]
+    return order, sort
+
+
+def numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values, the most frequent first, and each value's number there."""
+    order, sort = ordered(values)
+    new = np.concatenate([[True], sort[1:] != sort[:-1]])[: len(sort)]
+    start = np.flatnonzero(new)
+    rank = np.empty(len(start), np.uint32)
+    many = np.minimum(np.diff(np.append(start, len(sort))), 65535).astype(np.uint16)
+    by = np.argsort(np.uint16(65535) - many, kind="stable")
+    rank[by] = np.arange(len(start), dtype=np.uint32)
+    codes = np.empty(len(values), np.uint32)
+    codes[order] = rank[np.cumsum(new) - 1]
+    return sort[start][by], codes
+
+
 def row(**values) -> pa.RecordBatch:
     made = {k: [v.tobytes() if isinstance(v, np.ndarray) else v] for k, v in values.items()}
     return pa.RecordBatch.from_arrays([pa.array(made.get(f.name, [None]), f.type) for f in FIELDS], schema=FIELDS)
@@ -77,7 +121,7 @@ def symbols(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(start | space)
     which = np.flatnonzero(start[edge])
     begin, stop = edge[which], np.append(edge, len(raw))[which + 1]
-    return span_hash(raw, begin, stop), np.searchsorted(begin, ends)
+    return span_hash(raw, begin, stop) & LOW48, np.searchsorted(begin, ends)
 
 
 def own_phrases(codes: list[int]) -> int:
@@ -86,11 +130,11 @@ def own_phrases(codes: list[int]) -> int:
     node, phrases = 0, 0
     get = tree.get
     for c in codes:
-        key = node << 32 | c
+        key = node | c
         node = get(key, 0)
         if not node:
             phrases += 1
-            tree[key] = phrases
+            tree[key] = phrases << 32
     return phrases + (node != 0)
 
 
@@ -98,16 +142,17 @@ def slice_batches(batches: Batches) -> Iterator[pa.RecordBatch]:
     """A row with the texts' keys and a row with their symbols, for each slice."""
     base, count = TaskContext.get().partitionId() << 32, 0
     for batch in batches:
-        raw, ends = utf8(batch.column("text"))
-        hashes, bounds = symbols(raw, ends)
-        vocab, codes = np.unique(hashes, return_inverse=True)
-        codes = codes.astype(np.uint32)
+        parts = [(symbols(*utf8(x)), len(x)) for x in pieces(batch.column("text"))]
+        ends = utf8(batch.column("text"))[1]
+        hashes = np.concatenate([h for (h, _), _ in parts])
+        bounds = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(b) for (_, b), _ in parts]))])
+        vocab, codes = numbered(hashes)
         own = np.array([own_phrases(codes[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])], np.int64)
         keys = np.stack([np.asarray(batch.column("k1")), np.asarray(batch.column("k2")), np.asarray(batch.column("rows")), np.diff(ends)], 1)
         bounds = bounds.astype(np.int64)
         yield row(kind=META, slice=base | count, bucket=-1, n=len(codes), keys=keys, own=own, bounds=bounds)
         owner = np.arange(len(ends) - 1, dtype=np.uint32)
-        yield row(kind=LIVE, slice=base | count, bucket=-1, n=len(codes), bounds=bounds, at=bounds[:-1], owner=owner, vocab=vocab, codes=codes, level=np.zeros(len(codes), np.uint8))
+        yield row(kind=LIVE, slice=base | count, bucket=-1, n=len(codes), bounds=bounds, at=bounds[:-1], owner=owner, vocab=pack(vocab, 6), codes=pack(codes, 4), level=pack(np.zeros(len(codes), np.uint8), 1))
         count += 1
 
 
@@ -117,7 +162,8 @@ class Slice:
     def __init__(self, batch: pa.RecordBatch, i: int):
         take = lambda name, kind: np.frombuffer(batch.column(name)[i].as_buffer(), kind)
         self.bounds, self.at, self.owner = take("bounds", "<i8"), take("at", "<i8"), take("owner", "<u4")
-        self.vocab, self.codes, self.level = take("vocab", "<u8"), take("codes", "<u4"), take("level", "u1").copy()
+        whole = lambda name, kind, width: unpack(memoryview(batch.column(name)[i].as_buffer()), kind, width)
+        self.vocab, self.codes, self.level = whole("vocab", "<u8", 6), whole("codes", "<u4", 4), whole("level", "u1", 1)
 
     def grams(self, first: int, last: int, buckets: int):
         """Places, lengths (counted from 1) and order by hash of the grams that may be shared; the different hashes, their counts, and their bounds by bucket."""
@@ -152,8 +198,7 @@ class Slice:
             none = np.zeros(0, np.int64)
             return none, none, none, np.zeros(0, np.uint64), none, none, none
         places, kinds, hashes = np.concatenate(places), np.concatenate(kinds), np.concatenate(hashes)
-        order = np.argsort(hashes, kind="stable")
-        sort = hashes[order]
+        order, sort = ordered(hashes)
         start = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]]))
         bucket = ((sort[start] >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
         cuts = np.concatenate([[0], np.flatnonzero(bucket[1:] != bucket[:-1]) + 1])
@@ -176,9 +221,11 @@ def gram_batches(first: int, last: int, buckets: int):
                     continue
                 text, start = s.spread(places), np.cumsum(counts) - counts
                 both = text[order[start]] != text[order[start + counts - 1]]  # equal hashes are in order of place
-                low = np.ascontiguousarray((hashes & LOW48).view(np.uint8).reshape(-1, 8)[:, :6])
-                ends = np.append(cuts, len(hashes))
-                blobs = [low[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
+                ends, shift = np.append(cuts, len(hashes)), np.uint64(max(0, 16 - (buckets - 1).bit_length()))
+                high = hashes >> shift  # 48 bits and the bucket's; steps from one to the next take less
+                high[1:] -= high[:-1].copy()
+                high[cuts] = (hashes[cuts] >> shift) & LOW48
+                blobs = [pack(high[a:b], 6) for a, b in zip(ends[:-1], ends[1:])]
                 flags = [np.packbits(both[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([batch.column("slice")[i].as_py()] * len(cuts), pa.int64()), pa.array(blobs, pa.binary()), pa.array(flags, pa.binary())], names=["bucket", "slice", "grams", "both"])
 
@@ -188,14 +235,12 @@ def gram_batches(first: int, last: int, buckets: int):
 def shared_batches(batches: Batches) -> Iterator[pa.RecordBatch]:
     """Which grams of each bucket two texts have; rows come sorted by bucket."""
 
-    def answer(bucket: int, rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        size = [len(g) // 6 for _, g, _ in rows]
-        wide = np.zeros((sum(size), 8), np.uint8)
-        wide[:, :6] = np.concatenate([g for _, g, _ in rows]).reshape(-1, 6)
-        gram = wide.view("<u8")[:, 0]
-        good = np.concatenate([np.unpackbits(f, count=n) for (_, _, f), n in zip(rows, size)]).astype(bool)
-        order = np.argsort(gram)
-        sort = gram[order]
+    def answer(bucket: int, rows: list[tuple[int, memoryview, memoryview]]) -> pa.RecordBatch:
+        steps = [unpack(g, "<u8", 6) for _, g, _ in rows]
+        size = [len(x) for x in steps]
+        gram = np.concatenate([np.cumsum(x) for x in steps]) & LOW48
+        good = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for (_, _, f), n in zip(rows, size)]).astype(bool)
+        order, sort = ordered(gram << np.uint64(16))
         start = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]]))
         count = np.diff(np.append(start, len(sort)))
         shared = (count > 1) | np.logical_or.reduceat(good[order], start)
@@ -213,7 +258,7 @@ def shared_batches(batches: Batches) -> Iterator[pa.RecordBatch]:
                 yield answer(now, rows)
                 rows = []
             now = bucket
-            rows.append((s, *(np.frombuffer(batch.column(c)[i].as_buffer(), np.uint8) for c in ("grams", "both"))))
+            rows.append((s, *(memoryview(batch.column(c)[i].as_buffer()) for c in ("grams", "both"))))
     if rows:
         yield answer(now, rows)
 
@@ -233,7 +278,7 @@ def by_slice(batches: Batches) -> Iterator[tuple[int, list[tuple[pa.RecordBatch,
 
 
 def level_batches(first: int, last: int, buckets: int):
-    """Enter the answers; from ``COMPACT`` symbols on, put down the lengths and keep the stretches that are shared."""
+    """Enter the answers, put down the lengths and keep the stretches that are shared; a run ends before its stretch does, as lengths are above 1."""
 
     def step(batches: Batches) -> Iterator[pa.RecordBatch]:
         for number, rows in by_slice(batches):
@@ -245,16 +290,12 @@ def level_batches(first: int, last: int, buckets: int):
             size = np.diff(np.append(cuts, len(hashes)))
             if len(size):
                 bits = np.concatenate([np.unpackbits(np.frombuffer(b.column("bits")[k].as_buffer(), np.uint8), count=n) for (b, k), n in zip(answers, size)])
-                good = np.sort(order[np.repeat(bits.astype(bool), counts)])  # shorter grams come first
-                s.level[places[good]] = kinds[good]
-            if LENGTHS[last - 1] < COMPACT:
-                yield row(kind=LIVE, slice=number, bucket=-1, n=len(s.codes), bounds=s.bounds, at=s.at, owner=s.owner, vocab=s.vocab, codes=s.codes, level=s.level)
-                continue
-            yield row(kind=DONE, slice=number, bucket=last, n=len(s.codes), bounds=s.bounds, at=s.at, level=s.level)
+                good = np.zeros(len(places), bool)
+                good[order[np.repeat(bits.astype(bool), counts)]] = True
+                s.level[places[good]] = kinds[good]  # longer grams come last
+            yield row(kind=DONE, slice=number, bucket=last, n=len(s.codes), bounds=s.bounds, at=s.at, level=pack(s.level, 1))
             live = np.concatenate([[0], (s.level == last).astype(np.int8), [0]])
             begin, end = np.flatnonzero(np.diff(live) == 1), np.flatnonzero(np.diff(live) == -1)
-            if LENGTHS[last - 1] == 1:  # else a run ends before its stretch does
-                raise ValueError("stretches are cut from 2 symbols on")
             length, more = LENGTHS[last - 1], LENGTHS[last] - LENGTHS[last - 1]
             long = end - begin > more
             begin, size = begin[long], (end - begin)[long] + length - 1
@@ -262,8 +303,8 @@ def level_batches(first: int, last: int, buckets: int):
                 continue
             piece = np.searchsorted(s.bounds, begin, side="right") - 1
             at = spans(begin, size)
-            vocab, codes = np.unique(s.codes[at], return_inverse=True)
-            yield row(kind=LIVE, slice=number, bucket=-1, n=len(at), bounds=np.concatenate([[0], np.cumsum(size)]).astype(np.int64), at=s.at[piece] + begin - s.bounds[piece], owner=s.owner[piece], vocab=s.vocab[vocab], codes=codes.astype(np.uint32), level=s.level[at])
+            vocab, codes = numbered(s.vocab[s.codes[at]])
+            yield row(kind=LIVE, slice=number, bucket=-1, n=len(at), bounds=np.concatenate([[0], np.cumsum(size)]).astype(np.int64), at=s.at[piece] + begin - s.bounds[piece], owner=s.owner[piece], vocab=pack(vocab, 6), codes=pack(codes, 4), level=pack(s.level[at], 1))
 
     return step
 
@@ -277,7 +318,7 @@ def parse_batches(batches: Batches) -> Iterator[pa.RecordBatch]:
         level = np.zeros(int(bounds[-1]), np.uint8)
         for b, k in found:
             at = spans(take(b, k, "at", "<i8"), np.diff(take(b, k, "bounds", "<i8")))
-            np.maximum.at(level, at, take(b, k, "level", "u1"))
+            np.maximum.at(level, at, unpack(memoryview(b.column("level")[k].as_buffer()), "u1", 1))
         after = memoryview(np.arange(len(level)) + np.maximum(length[level], 1))
         count = np.zeros(len(own), np.int64)
         for t, (at, end) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist())):
@@ -298,10 +339,7 @@ class Tables:
         self.folder = f"{shared_dir(self.spark)}/crossparse-{uuid.uuid4().hex}"
 
     def keep(self, df: DataFrame, name: str) -> None:
-        df.write.partitionBy("kind").parquet(f"{self.folder}/{name}")
-        del df
-        gc.collect()
-        self.spark._jvm.System.gc()  # lets go of shuffle files
+        written(df, f"{self.folder}/{name}", "kind")
 
     def read(self, name: str, kind: int) -> DataFrame:
         """Rows of one kind; none if there are none."""
@@ -324,8 +362,8 @@ class Tables:
 
 def jobs() -> Iterator[tuple[int, int]]:
     yield from JOBS
-    for first in range(JOBS[-1][1] + 1, len(LENGTHS) - 4, 4):
-        yield first, first + 3
+    for first in range(JOBS[-1][1] + 1, len(LENGTHS) - 8, 8):
+        yield first, first + 7
 
 
 def phrase_counts(texts: DataFrame) -> DataFrame:
@@ -345,8 +383,7 @@ def phrase_counts(texts: DataFrame) -> DataFrame:
         tables.keep(run(placed, ROW, level_batches(first, last, buckets)), str(number))
         tables.drop(name, LIVE)
         name = str(number)
-        if LENGTHS[last - 1] >= COMPACT:
-            done.append(name)
+        done.append(name)
     rows = tables.read("0", META)
     for name in done:
         rows = rows.union(tables.read(name, DONE))
@@ -361,7 +398,7 @@ def score_words(docs: DataFrame) -> DataFrame:
     texts = docs.select(*key, text.alias("text")).groupBy("k1", "k2").agg(F.count("*").alias("rows"), F.first("text").alias("text"))
     found = phrase_counts(texts)
     folder = f"{shared_dir(docs.sparkSession)}/crossparse-{uuid.uuid4().hex}"
-    found.write.parquet(folder)
+    written(found, folder)
     found = docs.sparkSession.read.schema(found.schema).parquet(folder)
     total = found.agg(F.coalesce(F.sum(F.col("rows") * F.col("n_symbols")), F.lit(0))).first()[0]
     others, least = F.lit(total) - F.col("n_symbols"), F.greatest("n_symbols", F.lit(1))
