@@ -19,7 +19,7 @@ a phrase of its own. Which matches exist is found without bringing texts togethe
 
 A suffix automaton of the corpus (``zivmerhav``, which the tests hold this against) gives the same longest matches, but cannot be cut into tasks:
 matches may lie anywhere. Work and bytes moved are linear in the symbols; a slice holds 2 MB of text, or one text if that is longer.
-Symbols are told apart by 48 bits, grams by 48 and their bucket, texts by 128.
+Symbols are told apart by 48 bits, grams by 44 and their bucket of some million, texts by 128.
 
 Cases: a null or empty text, or one of white space alone, has 0 phrases and scores of 0; a text without reference (all others have no symbols) takes
 every symbol for a phrase and has no scores (null); equal texts score equally; repeated rows are copies; a null doc_id keeps
@@ -53,7 +53,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC3, 0xE0)]] = True
-LOW48 = np.uint64((1 << 48) - 1)
+KEY = 44
+LOW48, LOWKEY = np.uint64((1 << 48) - 1), np.uint64((1 << KEY) - 1)
 
 
 def pack(values: np.ndarray, width: int) -> bytes:
@@ -176,7 +177,15 @@ class Slice:
         power, places, kinds, hashes = {1: self.vocab[self.codes]}, [], [], []
         for k in range(first, last + 1):
             length = LENGTHS[k - 1]
-            at = np.flatnonzero(left >= length - max(0, known - 1))
+            if k == 1:  # of each symbol its first and last place
+                head, tail = np.empty(len(self.vocab), np.int64), np.empty(len(self.vocab), np.int64)
+                head[self.codes[::-1]] = np.arange(n)[::-1]
+                tail[self.codes] = np.arange(n)
+                seen = np.zeros(n, bool)
+                seen[head] = seen[tail] = True
+                at = np.flatnonzero(seen)
+            else:
+                at = np.flatnonzero(left >= length - max(0, known - 1))
             if not len(at):
                 break
             while 2 * max(power) <= length:
@@ -221,10 +230,11 @@ def gram_batches(first: int, last: int, buckets: int):
                     continue
                 text, start = s.spread(places), np.cumsum(counts) - counts
                 both = text[order[start]] != text[order[start + counts - 1]]  # equal hashes are in order of place
-                ends, shift = np.append(cuts, len(hashes)), np.uint64(max(0, 16 - (buckets - 1).bit_length()))
-                high = hashes >> shift  # 48 bits and the bucket's; steps from one to the next take less
+                ends, shift = np.append(cuts, len(hashes)), np.uint64(max(0, 64 - KEY - (buckets - 1).bit_length()))
+                high = hashes >> shift  # so many bits and the bucket's; steps from one to the next take less
                 high[1:] -= high[:-1].copy()
-                high[cuts] = (hashes[cuts] >> shift) & LOW48
+                high[cuts] = hashes[cuts] >> shift & LOWKEY
+                high &= LOWKEY
                 blobs = [pack(high[a:b], 6) for a, b in zip(ends[:-1], ends[1:])]
                 flags = [np.packbits(both[a:b]).tobytes() for a, b in zip(ends[:-1], ends[1:])]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array([batch.column("slice")[i].as_py()] * len(cuts), pa.int64()), pa.array(blobs, pa.binary()), pa.array(flags, pa.binary())], names=["bucket", "slice", "grams", "both"])
@@ -238,9 +248,9 @@ def shared_batches(batches: Batches) -> Iterator[pa.RecordBatch]:
     def answer(bucket: int, rows: list[tuple[int, memoryview, memoryview]]) -> pa.RecordBatch:
         steps = [unpack(g, "<u8", 6) for _, g, _ in rows]
         size = [len(x) for x in steps]
-        gram = np.concatenate([np.cumsum(x) for x in steps]) & LOW48
+        gram = np.concatenate([np.cumsum(x) for x in steps]) & LOWKEY
         good = np.concatenate([np.unpackbits(np.frombuffer(f, np.uint8), count=n) for (_, _, f), n in zip(rows, size)]).astype(bool)
-        order, sort = ordered(gram << np.uint64(16))
+        order, sort = ordered(gram << np.uint64(64 - KEY))
         start = np.flatnonzero(np.concatenate([[True], sort[1:] != sort[:-1]]))
         count = np.diff(np.append(start, len(sort)))
         shared = (count > 1) | np.logical_or.reduceat(good[order], start)
@@ -292,6 +302,10 @@ def level_batches(first: int, last: int, buckets: int):
                 bits = np.concatenate([np.unpackbits(np.frombuffer(b.column("bits")[k].as_buffer(), np.uint8), count=n) for (b, k), n in zip(answers, size)])
                 good = np.zeros(len(places), bool)
                 good[order[np.repeat(bits.astype(bool), counts)]] = True
+                if first == 1:
+                    alone = np.zeros(len(s.vocab), np.uint8)
+                    alone[s.codes[places[good & (kinds == 1)]]] = 1
+                    s.level = alone[s.codes]
                 s.level[places[good]] = kinds[good]  # longer grams come last
             yield row(kind=DONE, slice=number, bucket=last, n=len(s.codes), bounds=s.bounds, at=s.at, level=pack(s.level, 1))
             live = np.concatenate([[0], (s.level == last).astype(np.int8), [0]])
