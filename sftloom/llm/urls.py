@@ -2,7 +2,8 @@
 
 Hosts, paths and rules are matched with built-in expressions. URLs that a rule fits are the labelled
 ones: the trees learn the rules' verdicts from a bounded sample of them (``rows``) and judge the rest from
-lengths, depth, digit ratio, entropy, parameter counts and the suffix's statistics in the sample.
+lengths, depth, digit ratio, entropy, parameter counts, the suffix's number of URLs in the whole table and its share of
+blocked ones in the sample (smoothed to the sample's share, which suffixes without labels get).
 
 Cases: a null URL, or one without ``://``, has empty host and path, fits no rule, and is judged by the
 trees; equal URLs are judged equally; an empty table gives no rows; other columns are ignored; where
@@ -101,6 +102,7 @@ def lexical(batch: pa.RecordBatch, stats: dict[str, tuple[int, int]]) -> np.ndar
     sure = by_url((raw[:-1] == ord("s")) & (raw[1:] == ord(":")) if len(raw) else raw, np.minimum(ends, max(0, len(raw) - 1)))
     seen = [stats.get(s, (0, 0)) for s in suffixes(batch.column("host"))]
     blocked, count = np.array([b for _, b in seen], np.float64), np.array([n for n, _ in seen], np.float64)
+    every = np.asarray(batch.column("suffix_count")) if "suffix_count" in batch.schema.names else count
     total, bad = sum(n for n, _ in stats.values()), sum(b for _, b in stats.values())
     prior = (bad + 1) / (total + 2)
     columns = [
@@ -119,7 +121,7 @@ def lexical(batch: pa.RecordBatch, stats: dict[str, tuple[int, int]]) -> np.ndar
         by_url(raw == 35, ends) > 0,
         sure > 0,
         (blocked + 20 * prior) / (count + 20),
-        np.log1p(count),
+        np.log1p(every),
     ]
     return np.stack([np.asarray(c, np.float64) for c in columns], 1)
 
@@ -181,9 +183,21 @@ def grow(x: np.ndarray, y: np.ndarray, stats: dict[str, tuple[int, int]], trees:
     return forest
 
 
+def suffix_counts(all_: DataFrame) -> DataFrame:
+    """suffix and suffix_count: how many URLs of the whole table have the host suffix; folded in each task before the shuffle."""
+    return all_.groupBy(F.substring_index("host", ".", -1).alias("suffix")).agg(F.count("*").alias("suffix_count"))
+
+
+def counted(pages: DataFrame, counts: DataFrame) -> DataFrame:
+    """Pages with their suffix's count; Spark broadcasts the counts where they are few, else adaptive execution splits hot suffixes."""
+    return pages.withColumn("suffix", F.substring_index("host", ".", -1)).join(counts, "suffix").drop("suffix")
+
+
 def fit_filter(pages: DataFrame, rules: tuple[Rule, ...] = RULES, rows: int = 20000) -> Forest:
     """Trees from a bounded sample of the URLs that a rule fits; label 1 is block."""
-    sample = bounded_sample(ruled(pages, rules).where("ruling is not null"), rows, "page_id").toArrow().combine_chunks()
+    all_ = ruled(pages, rules)
+    sample = bounded_sample(all_.where("ruling is not null"), rows, "page_id")
+    sample = counted(sample, suffix_counts(all_)).orderBy(F.xxhash64("page_id"), "page_id", "url").toArrow().combine_chunks()
     if not sample.num_rows:
         return Forest(-1.0, {})
     batch = sample.to_batches()[0]
@@ -211,4 +225,5 @@ def judge_batches(shared):
 def judge_urls(pages: DataFrame, forest: Forest, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Host, path, rule and verdict of every page's url."""
     shared = pages.sparkSession.sparkContext.broadcast(forest)
-    return run(ruled(pages, rules), SCHEMA, sliced(4 << 20, "url"), judge_batches(shared))
+    all_ = ruled(pages, rules)
+    return run(counted(all_, suffix_counts(all_)), SCHEMA, sliced(4 << 20, "url"), judge_batches(shared))
