@@ -10,8 +10,13 @@ from pyspark.sql import functions as F
 from .arrow import bounded_sample
 
 
-def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None) -> tuple[pa.Array, np.ndarray]:
-    """Whole texts and labels of at most ``rows`` labelled documents, the same ones for the same tables.
+LONGEST = 128 << 10
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, learn: Column | None = None, longest: int = LONGEST) -> tuple[pa.Array, np.ndarray]:
+    """Whole texts and labels of at most ``rows`` labelled documents of at most ``longest`` bytes, the same ones for the same tables.
+
+    Both bounds are for learning alone, so that what comes to the driver is bounded; every text is scored, whole.
 
     The sample of labels is bounded, so it is broadcast; the documents are scanned once, and only
     sampled texts come to the driver. ``learn`` says which labels may be used at all.
@@ -20,7 +25,8 @@ def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, rows: int, le
     if learn is not None:
         marked = marked.where(learn)
     sample = bounded_sample(marked, rows)
-    got = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).toArrow().combine_chunks()
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where(F.octet_length("text") <= longest)
+    got = texts.join(F.broadcast(sample), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).toArrow().combine_chunks()
     text = got.column("text").combine_chunks() if got.num_rows else pa.array([], pa.string())
     return text, np.array(got.column("y").to_pylist(), np.float64)
 
