@@ -6,6 +6,7 @@ one Python pass, so that texts cross the border between JVM and Python once.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from pathlib import Path
 
@@ -128,6 +129,20 @@ def written(df: DataFrame, path: str, *by: str) -> None:
         conf.set(key, before)
 
 
+class Store:
+    """Tables written one after the other in a folder of their own that the executors share."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.count = spark, 0
+        self.folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.count += 1
+        path = f"{self.folder}/{self.count}"
+        written(df, path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
 def data_path(name: str) -> str:
     """The tokenizers' public vocabulary files."""
     import public_tokenizers

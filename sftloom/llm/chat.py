@@ -8,7 +8,7 @@
 
 So a tree of depth d takes 2 log2(d) joins and the rows never outnumber the nodes of the chosen paths.
 Leaves are ranked in their tree by the sum of their path's scores (summed along the doubling), ties by
-node. Rounds are cut with ``checkpoint()``.
+node. Rounds are cut by written tables.
 
 ``format_paths`` writes each path as one conversation. A turn is ``<|im_start|>role\\ntext<|im_end|>\\n``;
 inside roles and texts every ``<``, backslashes, ``|`` gets one backslash more, so that no control string is left, and
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import Batches, run, shared_dir
+from .arrow import Batches, Store, run
 
 START, END = "<|im_start|>", "<|im_end|>"
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -51,18 +51,17 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
 
     ``nodes`` has tree_id, node_id, parent_id and score; only these four are moved.
     """
-    shared_dir(nodes.sparkSession)
+    keep = Store(nodes.sparkSession, "paths").keep
     own = nodes.select("tree_id", "node_id", "parent_id", F.coalesce(F.col("score").cast("double"), F.lit(0.0)).alias("score"))
     there = own.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"))
     jump = own.join(there, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("parent_id") == F.col("n")), "left")
     # up: the 2^k-th ancestor, or null; total and steps: score and number of the nodes from here to before it
-    jump = jump.select("tree_id", "node_id", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")).checkpoint()
+    jump = keep(jump.select("tree_id", "node_id", F.col("n").alias("up"), F.col("score").alias("total"), F.lit(1).cast("long").alias("steps")))
     levels, limit = [jump], 2 * max(1, own.count())
     while jump.where("up is not null").limit(1).count() and 2 ** len(levels) < limit:
         above = jump.select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), F.col("up").alias("next"), F.col("total").alias("more"), F.col("steps").alias("far"))
-        jump = jump.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left").select(
-            "tree_id", "node_id", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("far", F.lit(0))).alias("steps")
-        ).checkpoint()
+        jump = jump.join(above, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("up") == F.col("n")), "left")
+        jump = keep(jump.select("tree_id", "node_id", F.col("next").alias("up"), (F.col("total") + F.coalesce("more", F.lit(0.0))).alias("total"), (F.col("steps") + F.coalesce("far", F.lit(0))).alias("steps")))
         levels.append(jump)
     parents = own.where("parent_id is not null").select(F.col("tree_id").alias("t"), F.col("parent_id").alias("n")).distinct()
     leaves = jump.where("up is null").join(parents, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")), "left_anti")
@@ -72,7 +71,7 @@ def paths(nodes: DataFrame, best: int = 1) -> DataFrame:
     for k in range(len(levels) - 2, -1, -1):
         up = levels[k].where("up is not null").select(F.col("tree_id").alias("t"), F.col("node_id").alias("n"), "up")
         higher = found.join(up, F.col("tree_id").eqNullSafe(F.col("t")) & (F.col("node_id") == F.col("n")))
-        found = found.union(higher.select("tree_id", "rank", "leaf", F.col("up").alias("node_id"), F.col("depth") - 2**k)).checkpoint()
+        found = keep(found.union(higher.select("tree_id", "rank", "leaf", F.col("up").alias("node_id"), F.col("depth") - 2**k)))
     return found
 
 
@@ -147,7 +146,8 @@ def with_control(conversations: DataFrame) -> DataFrame:
 
 def chat_digest(conversations: DataFrame) -> DataFrame:
     """What the formatted conversations give when they are read back."""
-    return run(format_trees(chains(with_control(conversations))), DIGEST, digest_batches)
+    nodes = Store(conversations.sparkSession, "turns").keep(chains(with_control(conversations)))
+    return run(format_trees(nodes), DIGEST, digest_batches)
 
 
 ORACLE = """

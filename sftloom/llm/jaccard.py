@@ -32,7 +32,6 @@ has a null class_id; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 import math
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -41,7 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Batches, run, shared_dir, sliced, utf8
+from .arrow import Batches, Store, run, sliced, utf8
 
 THRESHOLD, RECALL = 0.5, 0.99
 SKETCH, SHINGLE = 128, 3
@@ -376,21 +375,6 @@ def tiles(members: DataFrame, key: str, size: str, block: int) -> DataFrame:
     return spread.select("*", lo.alias("lo"), hi.alias("hi"), side.alias("side")).drop("own", "other")
 
 
-class Store:
-    """Tables written in the folder that the executors share."""
-
-    def __init__(self, docs: DataFrame):
-        self.spark = docs.sparkSession
-        self.folder = f"{shared_dir(self.spark)}/jaccard-{uuid.uuid4().hex}"
-        self.count = 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        self.count += 1
-        path = f"{self.folder}/{self.count}"
-        df.write.parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """node and its component's least node, for every node with an edge (alternating large and small stars)."""
 
@@ -499,7 +483,7 @@ def hashed(docs: DataFrame) -> DataFrame:
 
 def classes(docs: DataFrame, threshold: float, recall: float) -> DataFrame:
     """doc_id, text_hash, root (names the class), class_id, n_links and n_copies of every document."""
-    store = Store(docs)
+    store = Store(docs.sparkSession, "jaccard")
     sets = store.keep(run(hashed(docs.select("doc_id", "text")), SETS, sliced(SLICE), set_batches))
     by_text = sets.groupBy("node", "text_hash").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("rows"), F.first("n").alias("n"))
     nodes = store.keep(by_text.groupBy("node").agg(F.min("first_id").alias("first_id"), F.sum("rows").alias("rows"), F.count("*").alias("n_texts"), F.first("n").alias("n")))
