@@ -66,7 +66,8 @@ def signature_rows(df: DataFrame, key: str, content: Column | str, perm: int = 1
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * perm), pa.array(np.concatenate(rows)))
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), lists], names=["_ord", "signature"])
 
-    return df.select(F.col(key).cast("long"), content).mapInArrow(step, "_ord long, signature array<long>")
+    content = F.col(content) if isinstance(content, str) else content
+    return df.select(F.col(key).cast("long").alias("_ord"), content.alias("content")).mapInArrow(step, "_ord long, signature array<long>")
 
 
 def minhash_similarity(a: Column, b: Column) -> Column:

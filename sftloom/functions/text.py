@@ -1,7 +1,7 @@
 """Text measures and normalisation as Spark columns.
 
-Everything but Unicode normalisation and the copied-ratio measure is built from JVM expressions. Lengths
-count code points. White space is what Python's ``str.split`` splits on.
+Everything but Unicode normalisation, the repetition measures (``windows``, Arrow batches) and the copied-ratio measure is
+built from JVM expressions. Lengths count code points. White space is what Python's ``str.split`` splits on.
 """
 
 from __future__ import annotations
@@ -12,9 +12,12 @@ import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StringType
+from pyspark.sql.types import DoubleType, IntegerType, StringType
+
+from . import windows
 
 SPACE = r"[\s\x1c-\x1f]"
 JOINER = "\x01"
@@ -90,19 +93,28 @@ def _windows(items: Column, n: int, glue: str) -> Column:
 
 def word_repetition_ratio(text: Column | str, window: int = 5) -> Column:
     """Share of word windows that occurred before in the text."""
-    runs = _windows(words(text), window, JOINER)
-    return let(runs, lambda r: F.when(F.size(r) > 0, (F.size(r) - F.size(F.array_distinct(r))) / F.size(r)).otherwise(0.0))
+
+    @F.arrow_udf(DoubleType())
+    def repeated(t: pa.Array) -> pa.Array:
+        return windows.repetition(t, window)
+
+    return repeated(F.coalesce(F.lower(col(text)), F.lit("")))
+
+
+@F.arrow_udf(IntegerType())
+def _longest_run(t: pa.Array) -> pa.Array:
+    return windows.longest_runs(t)
 
 
 def longest_run(text: Column | str) -> Column:
-    t = col(text)
-    return F.coalesce(F.array_max(F.transform(F.regexp_extract_all(t, F.lit(r"(?s)(.)\1*"), F.lit(0)), F.length)), F.lit(0))
+    return _longest_run(F.coalesce(col(text), F.lit("")))
 
 
 def char_repetition_ratio(text: Column | str, min_len: int = 5) -> Column:
     """Longest run of one character by length; 0 for runs below ``min_len``."""
     t = col(text)
-    return let(longest_run(t), lambda run: F.when(run >= min_len, run / F.length(t)).otherwise(0.0))
+    run = longest_run(t)
+    return F.when(run >= min_len, run / F.length(t)).otherwise(0.0)
 
 
 def characters(text: Column) -> Column:
@@ -116,7 +128,12 @@ def ngrams(text: Column | str, n: int, unit: str) -> Column:
 
 def ngram_diversity(text: Column | str, n: int = 3, *, unit: str = "char") -> Column:
     """Distinct n-grams by all n-grams; 1 for shorter texts."""
-    return let(ngrams(text, n, unit), lambda r: F.when(F.size(r) > 0, F.size(F.array_distinct(r)) / F.size(r)).otherwise(1.0))
+
+    @F.arrow_udf(DoubleType())
+    def diverse(t: pa.Array) -> pa.Array:
+        return windows.diversity(t, n, unit)
+
+    return diverse(F.coalesce(F.lower(strip(text)), F.lit("")))
 
 
 def shingles(text: Column | str, n: int = 3) -> Column:
