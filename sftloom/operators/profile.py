@@ -75,6 +75,13 @@ def frequency(df: DataFrame, value: str, order: str = "_ord", top: int | None =
     return out.limit(top) if top else out
 
 
+def plan_breakdown(plan: DataFrame) -> DataFrame:
+    """Items of a plan by topic and sub-topic; missing ones have names in brackets."""
+    topic = F.coalesce("topic", F.lit("(unknown)"))
+    sub = F.coalesce(F.nullif("sub_topic", F.lit("")), F.lit("(unnamed)"))
+    return plan.groupBy(topic.alias("topic"), sub.alias("sub_topic")).agg(F.count("*").alias("items"))
+
+
 def format_counts(df: DataFrame) -> DataFrame:
     """Rows by shape, and empty fields."""
     many = F.size(F.coalesce("messages", F.array())) > 0 if "messages" in df.columns else F.lit(False)

@@ -50,13 +50,14 @@ class CompositeObserver:
 
 @dataclass
 class Context:
-    """What stages know besides their rows. ``judges`` are (name, client) pairs; ``inputs`` are tables for strategies."""
+    """What stages know besides their rows. ``judges`` are (name, client) pairs; ``inputs`` are tables for strategies; ``embedder`` adds the vectors that semantic deduplication needs."""
 
     spark: SparkSession
     config: App
     client: Client = field(default_factory=StubClient)
     judges: list[tuple[str, Client]] = field(default_factory=list)
     inputs: dict[str, DataFrame] = field(default_factory=dict)
+    embedder: Callable[[DataFrame], DataFrame] | None = None
     counts: dict[str, dict[str, Any]] = field(default_factory=dict)
 
 
@@ -110,14 +111,22 @@ def flat(df: DataFrame) -> DataFrame:
 
 
 def clean_rows(df: DataFrame, c: Cleaner, embedder: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """Normalise, apply the rules, remove duplicates; chat rows are judged by their messages and keep them."""
+    """Normalise, apply the rules, remove duplicates; chat rows are judged by their messages and keep them, normalised.
+
+    Metadata whose names begin with _ are left out.
+    """
     rows = flat(df).withColumns({k: T.normalize_text(k) for k in ("instruction", "output")}).where((F.length("instruction") > 0) & (F.length("output") > 0))
     rules = quality.cleaner_rules(
         quality.LengthRule(c.min_instruction_length, c.max_instruction_length, c.min_output_length, c.max_output_length),
         quality.RatioRule(c.max_special_char_ratio, c.max_word_repetition, c.max_char_repetition),
         quality.NgramDiversityRule(c.min_ngram_diversity, c.ngram_n, c.ngram_unit),
     )
-    rows = materialise(quality.apply_rules(rows, rules))
+    rows = quality.apply_rules(rows, rules)
+    if "messages" in rows.columns:
+        rows = reshape.rebuild_messages(materialise(rows))
+    if dict(rows.dtypes).get("metadata", "").startswith("map<string"):
+        rows = rows.withColumn("metadata", reshape.public_metadata(F.col("metadata")))
+    rows = materialise(rows)
     if c.embedding_dedup:
         if embedder is None:
             raise ValueError("semantic deduplication needs an embedding function")
@@ -128,7 +137,7 @@ def clean_rows(df: DataFrame, c: Cleaner, embedder: Callable[[DataFrame], DataFr
 
 @stage("clean")
 def clean(df: DataFrame | None, ctx: Context) -> DataFrame:
-    out = materialise(clean_rows(df, ctx.config.cleaner))
+    out = materialise(clean_rows(df, ctx.config.cleaner, ctx.embedder))
     ctx.counts["clean"] = {"kept": out.count(), "dropped": df.count() - out.count()}
     return out
 

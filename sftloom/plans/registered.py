@@ -14,7 +14,7 @@ from sftloom.functions import json as J
 from sftloom.functions import minhash, text as T, vector
 from sftloom.operators import chunking, dedup, profile, quality, reshape, scoring
 
-from . import strategies
+from . import prompts, strategies
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -97,7 +97,8 @@ def exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = messages(spark, sf_dir).select(F.col("conv_id").alias("_ord"), F.array_join(F.transform("messages", lambda m: F.coalesce(m["content"], F.lit(""))), " ").alias("x"))
+    rows = messages(spark, sf_dir).select(F.col("conv_id").alias("_ord"), "messages", F.lit("").alias("instruction"), F.lit("").alias("output"))
+    rows = rows.withColumn("x", reshape.dedup_text(rows))
     return dedup.exact_dedup(rows, T.fingerprint("x")).select(F.col("_ord").alias("conv_id"))
 
 
@@ -169,7 +170,8 @@ def structure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def normalized_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", F.sha2(T.normalize_text("html"), 256).alias("normalized_sha256"), F.length(T.normalize_text("html")).alias("chars"))
+    clean = pages.select("page_id", T.normalize_text("html").alias("t"))
+    return clean.select("page_id", F.sha2("t", 256).alias("normalized_sha256"), F.length("t").alias("chars"))
 
 
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -260,11 +262,96 @@ def cosine_to_label_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(first, "label").groupBy("label").agg(F.round(F.avg(vector.cosine_similarity(F.col("embedding"), F.col("first"))), 5).alias("mean_cosine"), F.count("*").alias("n"))
 
 
+def cleaned_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cleaner on chats: normalised messages of those that the length and ratio rules keep."""
+    from . import config, pipeline
+
+    rows = messages(spark, sf_dir).select(F.col("conv_id").alias("_ord"), F.lit("").alias("instruction"), F.lit("").alias("output"), "messages")
+    kept = pipeline.clean_rows(rows, config.Cleaner(minhash_dedup=False, min_instruction_length=20, min_output_length=40, max_output_length=3000, max_word_repetition=0.4, min_ngram_diversity=0.0))
+    return kept.select(F.col("_ord").alias("conv_id"), F.sha2(reshape.transcript(F.col("messages")), 256).alias("transcript_sha256"), F.sha2("instruction", 256).alias("instruction_sha256"))
+
+
+def seed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    first, second = reshape.seed_pair(F.col("messages"))
+    return messages(spark, sf_dir).select("conv_id", first.alias("instruction"), second.alias("output"))
+
+
+def validator_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    user, answer = reshape.validator_texts(F.col("messages"))
+    return messages(spark, sf_dir).select("conv_id", user.alias("instruction"), answer.alias("output"))
+
+
+def dataset_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shapes and empty fields of chats and documents together."""
+    from . import pipeline
+
+    chats = messages(spark, sf_dir).select(F.lit("").alias("instruction"), F.lit("").alias("output"), "messages")
+    docs = table(spark, sf_dir, "documents").select(F.lit("").alias("instruction"), F.col("text").alias("output"), F.lit(None).cast(chats.schema["messages"].dataType).alias("messages"))
+    return profile.format_counts(pipeline.flat(chats.union(docs)))
+
+
+def repetition_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = profile.repetition_summary(table(spark, sf_dir, "documents"), "text")
+    return rows.select(*[F.round(c, 8).alias(c) if c.startswith("mean") else F.col(c) for c in rows.columns])
+
+
+def document_qa_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of two as question and answer."""
+    rows = seed_pairs(spark, sf_dir)
+    return rows.where(quality.document_qa_is_valid(F.col("instruction"), F.col("output"), 400, 1500)).select("conv_id")
+
+
+def fenced_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in code fences and quotes, taken out again."""
+    t = F.col("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("```json\n"), t, F.lit("\n```")).alias("fenced"), F.concat(F.lit(' "'), T.strip(t), F.lit('" ')).alias("quoted"))
+    return docs.select("doc_id", F.sha2(T.strip_fences("fenced"), 256).alias("unfenced_sha256"), F.length(T.clean_evolved("quoted")).alias("unquoted_chars"))
+
+
+def public_props(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the events' JSON without private ones."""
+    events = table(spark, sf_dir, "events").select("event_id", F.map_concat(F.from_json("props", "map<string,string>"), F.create_map(F.lit("_private"), F.lit("1"))).alias("m"))
+    kept = events.select("event_id", F.explode(F.map_keys(reshape.public_metadata(F.col("m")))).alias("key"))
+    return kept.groupBy("key").agg(F.count("*").alias("events"))
+
+
+def plan_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = table(spark, sf_dir, "documents").select(F.col("lang").alias("topic"), F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("sub_topic"))
+    return profile.plan_breakdown(plan)
+
+
+def topic_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of topic codes; the documents' languages are no codes."""
+    codes = F.array(*map(F.lit, prompts.TOPICS))
+    code = F.coalesce(F.get(codes, (F.col("doc_id") % 12).cast("int")), F.col("lang"))
+    return table(spark, sf_dir, "documents").groupBy(prompts.topic_name(code).alias("name"), prompts.topic_name(code, "zh").alias("name_zh")).agg(F.count("*").alias("n"))
+
+
+def task_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "documents").select(F.concat(F.lit(" "), F.when(F.col("doc_id") % 3 == 0, F.upper(F.lit("qa"))).when(F.col("doc_id") % 3 == 1, F.lit("how_to")).otherwise(F.col("lang"))).alias("kind"))
+    return words.groupBy(T.task_type("kind").alias("task_type")).agg(F.count("*").alias("n"))
+
+
+def minhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity of each benchmark item's signature, all 128 values, to the next item's."""
+    items = table(spark, sf_dir, "benchmark").withColumn("_ord", F.col("item_id"))
+    signed = dedup.signatures(items).select(F.col("_ord").alias("item_id"), "signature")
+    after = signed.select((F.col("item_id") - 1).alias("item_id"), F.col("signature").alias("other"))
+    return signed.join(after, "item_id").select("item_id", minhash.minhash_similarity(F.col("signature"), F.col("other")).alias("similarity"))
+
+
+def score_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each judge's total; none where it failed."""
+    scored = scoring.with_scores(judged(spark, sf_dir).withColumnRenamed("scores", "given"), F.col("given"))
+    return scored.groupBy("judge").agg(F.sum("total_score").alias("total"), F.count("total_score").alias("scored"), F.count("*").alias("rows"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         text_quality_by_lang, text_measures, rule_filter, length_distribution, length_histogram, source_frequency_topk, exact_dedup, conversation_dedup, conversation_flatten, format_chatml, format_sharegpt,
         judge_transcript, minhash_signatures, minhash_signatures_all, near_dup_greedy_survivors, similarity_profile, semantic_pairs, semantic_dedup, sentence_segments, structure_chunks, normalized_text, judge_aggregate, judge_median,
+        cleaned_conversations, seed_pairs, validator_texts, dataset_counts, repetition_summary, document_qa_filter, fenced_texts, public_props, plan_breakdown, topic_names, task_types, minhash_neighbours, score_totals,
         score_filter, score_distributions, parse_props_json, plan_slots, context_reference_filter, length_ratio_filter, angle_dedup, execution_batches, backtranslation_documents, cosine_to_label_mean,
     )
 }
@@ -294,11 +381,11 @@ SELECT {by}, count(*) AS count, min(v) AS min, max(v) AS max, sum(v::DOUBLE) / c
 FROM s GROUP BY {by}"""
 
 
-def _signatures_sql(perms: int = 4) -> str:
+def _signatures_sql(perms: int = 4, of: str = "documents", key: str = "doc_id") -> str:
     a, b = minhash.coefficients(128, 42)
     rows = ", ".join(f"({i}, {a[i]}::HUGEINT, {b[i]}::HUGEINT)" for i in range(perms))
     return f"""
-WITH t AS (SELECT doc_id, lower({STRIPPED}) AS t FROM documents),
+WITH t AS (SELECT {key} AS doc_id, lower({STRIPPED}) AS t FROM {of}),
 g AS (
   SELECT DISTINCT doc_id, substr(t, i::INT, 3) AS x FROM (SELECT doc_id, t, unnest(range(1, length(t) - 1)) AS i FROM t WHERE length(t) >= 3)
   UNION SELECT doc_id, t FROM t WHERE length(t) BETWEEN 1 AND 2
@@ -313,7 +400,27 @@ _REFERS = r"根据(上文|原文|这篇文章|上述内容|给定材料)|阅读(
 _REFUSES = " OR ".join("contains(lower(text), '" + p.replace("'", "''") + "')" for p in T.REFUSALS)
 _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(text, '([.!?;。！？；])\\s+', '\\1' || chr(2), 'g'), chr(2)), lambda s: trim(s)), lambda s: s <> '')"
 
+_TURNS = "SELECT conv_id, coalesce(string_agg(coalesce(text, ''), ' ' ORDER BY turn, role, text) FILTER (role = 'user'), '') AS instruction, coalesce(string_agg(coalesce(text, ''), ' ' ORDER BY turn, role, text) FILTER (role = 'assistant'), '') AS output FROM conversations GROUP BY conv_id"
+_CODES = ", ".join(f"({i}, '{en}', '{zh}')" for i, (en, zh) in enumerate(prompts.TOPICS.values()))
+_SEEDS = "SELECT conv_id, arg_min(coalesce(text, ''), turn) FILTER (role = 'user') AS instruction, arg_min(coalesce(text, ''), turn) FILTER (role = 'assistant') AS output FROM conversations GROUP BY conv_id"
+
 ORACLES: dict[str, str] = {
+    "cleaned_conversations": f"""WITH v AS ({_TURNS}), w AS (SELECT *, {WORDS.replace('text', 'output')} AS w FROM v),
+g AS (SELECT conv_id, count(*) AS c, count(DISTINCT x) AS d FROM (SELECT conv_id, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i] || chr(1) || w[i+1] || chr(1) || w[i+2] || chr(1) || w[i+3] || chr(1) || w[i+4])) AS x FROM w WHERE len(w) >= 5) GROUP BY conv_id),
+k AS (SELECT v.* FROM v LEFT JOIN g USING (conv_id) WHERE length(instruction) BETWEEN 20 AND 4000 AND length(output) BETWEEN 40 AND 3000 AND coalesce((c - d) / c, 0) <= 0.4)
+SELECT conv_id, sha256(string_agg('[' || role || ']: ' || coalesce({STRIPPED}, ''), chr(10) ORDER BY turn, role, text)) AS transcript_sha256, sha256(trim(any_value(instruction))) AS instruction_sha256 FROM conversations JOIN k USING (conv_id) GROUP BY conv_id""",
+    "seed_pairs": _SEEDS,
+    "validator_texts": _TURNS,
+    "dataset_counts": f"WITH r AS (SELECT 1 AS chat, instruction, output FROM ({_TURNS}) UNION ALL SELECT 0, '', text FROM documents) SELECT count(*) AS total, count(*) FILTER (chat = 1) AS multi_turn, count(*) FILTER (chat = 0) AS single_turn, count(*) FILTER (coalesce(instruction, '') = '') AS empty_instruction, count(*) FILTER (coalesce(output, '') = '') AS empty_output FROM r",
+    "repetition_summary": f"WITH {MEASURES} SELECT max(words) AS max_word, round(avg(words), 8) AS mean_word, count(*) FILTER (words > 0.1) AS high_word, max(chars) AS max_char, round(avg(chars), 8) AS mean_char, count(*) FILTER (chars > 0.02) AS high_char FROM q",
+    "document_qa_filter": f"SELECT conv_id FROM ({_SEEDS}) WHERE length(instruction) BETWEEN 1 AND 400 AND length(output) BETWEEN 1 AND 1500 AND NOT regexp_matches(instruction, '{_REFERS}', 'i')",
+    "fenced_texts": f"SELECT doc_id, sha256({STRIPPED}) AS unfenced_sha256, length({STRIPPED})::INT AS unquoted_chars FROM documents",
+    "public_props": "SELECT key, count(*) AS events FROM (SELECT unnest(json_keys(props)) AS key FROM events) GROUP BY key",
+    "plan_breakdown": "SELECT coalesce(lang, '(unknown)') AS topic, CASE WHEN doc_id % 5 <> 0 AND source <> '' THEN source ELSE '(unnamed)' END AS sub_topic, count(*) AS items FROM documents GROUP BY ALL",
+    "topic_names": f"WITH c(k, en, zh) AS (VALUES {_CODES}) SELECT coalesce(en, lang) AS name, coalesce(zh, lang) AS name_zh, count(*) AS n FROM documents LEFT JOIN c ON doc_id % 12 = k GROUP BY ALL",
+    "task_types": "SELECT CASE doc_id % 3 WHEN 0 THEN 'qa' WHEN 1 THEN 'how_to' ELSE 'other' END AS task_type, count(*) AS n FROM documents GROUP BY ALL",
+    "minhash_neighbours": f"WITH s AS ({_signatures_sql(128, 'benchmark', 'item_id')}) SELECT a.doc_id AS item_id, count(*) FILTER (a.value = b.value) / 128 AS similarity FROM s a JOIN s b ON b.doc_id = a.doc_id + 1 AND a.perm = b.perm GROUP BY a.doc_id",
+    "score_totals": f"WITH {JUDGED} SELECT judge, sum(accuracy + clarity) AS total, count(*) AS scored, (SELECT count(*) FROM labels) AS rows FROM j GROUP BY judge",
     "text_quality_by_lang": f"WITH {MEASURES} SELECT lang, count(*) AS docs, count(*) FILTER (n BETWEEN 10 AND 8000 AND special <= 0.3 AND words <= 0.5 AND chars <= 0.5 AND diversity >= 0.2) AS kept, max(special) AS max_special, round(avg(special), 8) AS avg_special, round(avg(words), 8) AS avg_words, max(chars) AS max_chars, round(avg(diversity), 8) AS avg_diversity, min(diversity) AS min_diversity FROM q GROUP BY lang",
     "text_measures": f"WITH {MEASURES} SELECT doc_id, n::INT AS n, special, words, chars, diversity FROM q",
     "rule_filter": f"WITH {MEASURES} SELECT doc_id FROM q WHERE n BETWEEN 10 AND 8000 AND special <= 0.05 AND words <= 0.5 AND chars <= 0.5 AND diversity >= 0.2",

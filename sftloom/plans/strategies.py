@@ -19,7 +19,7 @@ from sftloom.operators import dedup, quality, reshape
 
 from . import parsing
 from .clients import Call, Client, complete, materialise
-from .prompts import KEYS, labelled, prompt
+from .prompts import KEYS, knowledge_lines, labelled, prompt
 
 DIMENSIONS = {"difficulty": ["easy", "medium", "hard"], "question_type": ["what", "how", "why", "compare"]}
 DEPTH = ("add_constraints", "deepen", "concretise", "more_reasoning_steps", "complicate_input")
@@ -90,6 +90,16 @@ class Generator:
     def estimate(self) -> int:
         return int(self.params.get("count", self.params.get("target_count", 0)))
 
+    def table(self, spark: SparkSession, name: str, given: DataFrame | None = None) -> DataFrame:
+        """The rows given here or in the parameters, where a string is a path to read."""
+        from sftloom.sources import readers
+
+        rows = given if given is not None else self.params[name]
+        if not isinstance(rows, str):
+            return rows
+        fields = self.params.get("field_map")
+        return readers.read_seeds(spark, rows, fields) if name == "seeds" else readers.load_document_chunks(spark, rows, fields, self.params.get("chunking"))
+
     def limited(self, df: DataFrame, id_: str = "id") -> DataFrame:
         """At most ``target_count`` prompts, shuffled by hash where ``shuffle`` is set."""
         caps = [int(self.params[k]) for k in ("target_count", "total_count") if self.params.get(k)]
@@ -112,7 +122,7 @@ class TopicDriven(Generator):
         lines = F.array_join(F.array_sort(F.collect_list(F.struct("slot", F.concat_ws(", ", *dims).alias("line"))))["line"], "\n")
         know = spark.createDataFrame([(t["name"], t.get("knowledge", "")) for t in topics], "topic string, knowledge string")
         wanted = slots.groupBy("topic").agg(F.count("*").alias("n"), lines.alias("lines")).join(know, "topic")
-        asked = wanted.withColumn("prompt", prompt("planner", "Plan the items.", labelled("Topic", F.col("topic")), labelled("Knowledge", F.col("knowledge")), labelled("Number of items", F.col("n")), "One line for each item:", F.col("lines"), lang=self.lang))
+        asked = wanted.withColumn("prompt", prompt("planner", "Plan the items.", labelled("Topic", F.col("topic")), knowledge_lines(F.col("knowledge"), F.col("n")), labelled("Number of items", F.col("n")), "One line for each item:", F.col("lines"), lang=self.lang))
         plan = parsing.parse_plan(self.ask(asked), dims).withColumn("_ord", F.xxhash64("topic", "item_no"))
         plan = dedup.dedup_angles(dedup.dedup_angles(plan), ())
         plan = batches(plan, int(p.get("execution_max_per_request", 2)), "topic", "item_no")
@@ -151,7 +161,10 @@ class SeedDriven(Generator):
         mode = F.when((F.col("r") < cross) & F.lit(n >= 2), "crossover").when((F.col("r") >= cross) & (F.col("r") < cross + mutate), "mutate").otherwise("few_shot")
         size = F.when(F.col("mode") == "crossover", 2).when(F.col("mode") == "mutate", 1).otherwise(min(k, n))
         start = F.floor(uniform(self.seed, "start", F.col("id")) * n)
-        wanted = ids.withColumn("mode", mode).select("id", "mode", F.explode(F.sequence(F.lit(0), size - 1)).alias("j"), start.alias("start")).withColumn("_index", (F.col("start") + F.col("j")) % n)
+        wanted = ids.withColumn("mode", mode).select("id", "mode", F.explode(F.sequence(F.lit(0), size - 1)).alias("j"), start.alias("start"))
+        second = F.floor(uniform(self.seed, "second", F.col("id")) * (n - 1)) + 1  # any other seed, for a crossover
+        step = F.when(F.col("mode") == "crossover", F.col("j") * second).otherwise(F.col("j"))
+        wanted = wanted.withColumn("_index", (F.col("start") + step) % n)
         shown = F.concat(F.lit("Instruction: "), "u", F.lit("\nOutput: "), "a")
         grouped = wanted.join(pool, "_index").groupBy("id", "mode").agg(F.array_sort(F.collect_list(F.struct("j", shown.alias("x"), "topic"))).alias("e"))
         fixed = self.params.get("topic")
@@ -160,7 +173,8 @@ class SeedDriven(Generator):
 
     def mutation(self) -> tuple[Column, Column]:
         """Name and instruction of the mutation, by weight."""
-        known = self.params.get("mutations") or [{"name": "rephrase", "instruction": "Ask for the same in another way.", "weight": 1.0}]
+        given = [m for m in self.params.get("mutations") or [] if isinstance(m, dict) and m.get("name") and m.get("instruction") and float(m.get("weight", 1)) >= 0]
+        known = given or [{"name": "rephrase", "instruction": "Ask for the same in another way.", "weight": 1.0}]
         total = sum(float(m.get("weight", 1)) for m in known) or 1.0
         u, at = uniform(self.seed, "mutation", F.col("id")), 0.0
         name = text = F
@@ -172,7 +186,7 @@ class SeedDriven(Generator):
         return name, text
 
     def generate(self, spark: SparkSession, seeds: DataFrame | None = None) -> DataFrame:
-        given = seeds if seeds is not None else self.params["seeds"]
+        given = self.table(spark, "seeds", seeds)
         rows = self.prompts(spark, given)
         name, text = self.mutation()
         rows = rows.withColumns({"mutation": F.when(F.col("mode") == "mutate", name), "directive": F.when(F.col("mode") == "mutate", text).when(F.col("mode") == "crossover", F.lit("Combine what both examples ask for."))})
@@ -209,7 +223,7 @@ class EvolInstruct(Generator):
         return got.select(F.concat_ws(".", "id", "job").alias("id"), "topic", F.col("evolved").alias("instruction"), F.concat("chain", F.array("evolution_type")).alias("chain"), F.lit(round_).alias("evolution_round"))
 
     def generate(self, spark: SparkSession, seeds: DataFrame | None = None) -> DataFrame:
-        given = (seeds if seeds is not None else self.params["seeds"]).where(F.length(T.strip("instruction")) > 0)
+        given = self.table(spark, "seeds", seeds).where(F.length(T.strip("instruction")) > 0)
         first = given.select(F.col("_ord").cast("string").alias("id"), (F.col("topic") if "topic" in given.columns else F.lit("")).alias("topic"), "instruction", F.array().cast("array<string>").alias("chain"), F.lit(0).alias("evolution_round"))
         pool, rounds = first, []
         for r in range(1, int(self.params.get("rounds", 1)) + 1):
@@ -232,7 +246,7 @@ class Backtranslation(Generator):
     """Instructions for given texts, which stay the outputs."""
 
     def generate(self, spark: SparkSession, docs: DataFrame | None = None) -> DataFrame:
-        given = self.limited(docs if docs is not None else self.params["documents"])
+        given = self.limited(self.table(spark, "documents", docs))
         asked = given.withColumn("prompt", prompt("backtranslate", labelled("Title", F.col("title")), labelled("Document", F.col("text")), KEYS["backtranslate"], lang=self.lang))
         made = parsing.parse_backtranslation(self.ask(asked))
         valid = quality.backtranslation_is_valid(F.col("instruction"), F.col("text"), int(self.params.get("max_instruction_length", 500)))
@@ -243,7 +257,7 @@ class DocumentQa(Generator):
     """Questions and answers grounded in chunks, whose text stays with the sample."""
 
     def generate(self, spark: SparkSession, chunks: DataFrame | None = None) -> DataFrame:
-        given = self.limited(chunks if chunks is not None else self.params["chunks"])
+        given = self.limited(self.table(spark, "chunks", chunks))
         asked = given.withColumn("prompt", prompt("document_qa", labelled("Title", F.col("title")), labelled("Document", F.col("text")), KEYS["document_qa"], lang=self.lang))
         made = parsing.parse_document_qa(self.ask(asked)).withColumnRenamed("text", "source_text")
         valid = quality.document_qa_is_valid(F.col("instruction"), F.col("output"), int(self.params.get("max_instruction_length", 500)), int(self.params.get("max_output_length", 4000)))
