@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import Batches, pieces, run, shared_dir, sliced, spans, utf8, written
+from .arrow import Batches, Store, pieces, run, shared_dir, sliced, spans, utf8, written
 from .jaccard import mix, span_hash
 
 SLICE, BUCKET = 2 << 20, 1 << 21
@@ -367,6 +367,9 @@ class Tables:
         path = f"{self.folder}/{name}/kind={kind}"
         self._fs(path).delete(self._path(path), True)
 
+    def close(self) -> None:
+        self._fs(self.folder).delete(self._path(self.folder), True)
+
     def _path(self, path: str):
         return self.spark._jvm.org.apache.hadoop.fs.Path(path)
 
@@ -380,9 +383,8 @@ def jobs() -> Iterator[tuple[int, int]]:
         yield first, first + 7
 
 
-def phrase_counts(texts: DataFrame) -> DataFrame:
-    """k1, k2, rows, n_bytes, n_symbols, phrases, own_phrases of different texts (k1, k2, rows, text)."""
-    tables = Tables(texts)
+def phrase_counts(texts: DataFrame, tables: Tables) -> DataFrame:
+    """k1, k2, rows, n_bytes, n_symbols, phrases, own_phrases of different texts (k1, k2, rows, text), from ``tables`` written on the way."""
     tables.keep(run(texts, ROW, sliced(SLICE), slice_batches), "0")
     name, done = "0", []
     for number, (first, last) in enumerate(jobs(), 1):
@@ -410,10 +412,9 @@ def score_words(docs: DataFrame) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     key = [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
     texts = docs.select(*key, text.alias("text")).groupBy("k1", "k2").agg(F.count("*").alias("rows"), F.first("text").alias("text"))
-    found = phrase_counts(texts)
-    folder = f"{shared_dir(docs.sparkSession)}/crossparse-{uuid.uuid4().hex}"
-    written(found, folder)
-    found = docs.sparkSession.read.schema(found.schema).parquet(folder)
+    tables = Tables(texts)
+    found = Store(docs.sparkSession, "phrases").keep(phrase_counts(texts, tables))
+    tables.close()
     total = found.agg(F.coalesce(F.sum(F.col("rows") * F.col("n_symbols")), F.lit(0))).first()[0]
     others, least = F.lit(total) - F.col("n_symbols"), F.greatest("n_symbols", F.lit(1))
     phrases = F.when(F.col("rows") > 1, F.least("n_symbols", F.lit(1))).otherwise(F.col("phrases"))
