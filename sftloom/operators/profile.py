@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import dedup
+
 QUARTILES = {"p25": (1, 4), "p75": (3, 4), "p90": (9, 10), "p95": (95, 100)}
 
 
@@ -18,7 +20,8 @@ def distribution(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame
     """
     keys = list(by)
     counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("v")).agg(F.count("*").alias("c"))
-    ranged = counted.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    dedup.checkpoints(df.sparkSession)
+    ranged = counted.repartitionByRange("v").withColumn("part", F.spark_partition_id()).checkpoint()  # both uses see the same ranges
     within = Window.partitionBy(*keys, "part").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     running = ranged.withColumn("here", F.sum("c").over(within))
     totals = ranged.groupBy(*keys, "part").agg(F.sum("c").alias("t"))

@@ -37,8 +37,8 @@ def pick(values: list[str], u: Column) -> Column:
 
 
 def with_index(df: DataFrame, *order: Column | str, name: str = "_index") -> DataFrame:
-    """Row numbers from 0 in the given order, without one task that sees all rows."""
-    ranged = df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id())
+    """Row numbers from 0 in the given order, without one task that sees all rows; the ranges are written, for they are read twice."""
+    ranged = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
     totals = ranged.groupBy("_part").agg(F.count("*").alias("_t"))
     before = totals.withColumn("_before", F.coalesce(F.sum("_t").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))  # a row for each partition
     here = F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
@@ -67,8 +67,11 @@ def plan_slots(spark: SparkSession, topics: list[str], counts: list[int], dimens
 
 
 def batches(df: DataFrame, size: int, by: str, order: str) -> DataFrame:
-    """Number of the batch of at most ``size`` rows that a row of its group lies in."""
-    return df.withColumn("batch", F.floor((F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1) / size).cast("int"))
+    """Number of the batch of at most ``size`` rows that a row of its group lies in; rows are numbered over all groups, so none is hot."""
+    placed = with_index(df, by, order)
+    first = placed.groupBy(F.col(by).alias("_by")).agg(F.min("_index").alias("_first"))
+    numbered = placed.join(first, F.col(by).eqNullSafe(F.col("_by")))
+    return numbered.withColumn("batch", F.floor((F.col("_index") - F.col("_first")) / size).cast("int")).drop("_by", "_first", "_index")
 
 
 @dataclass
