@@ -340,6 +340,32 @@ def minhash_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return signed.join(after, "item_id").select("item_id", minhash.minhash_similarity(F.col("signature"), F.col("other")).alias("similarity"))
 
 
+def variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as it is, without its end, and twice over; small enough for SQL that hashes all 128 permutations."""
+    items = table(spark, sf_dir, "benchmark")
+    t = F.col("text")
+    kinds = F.array(t, F.expr("substring(text, 1, length(text) - 10)"), F.concat(t, F.lit(" "), t), t)
+    return items.select("item_id", F.posexplode(kinds).alias("k", "text")).select((F.col("item_id") * 4 + F.col("k")).alias("_ord"), "text")
+
+
+def near_dup_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy survivors among candidates of bands."""
+    return dedup.MinHashDedup()(variants(spark, sf_dir), F.col("text")).select(F.col("_ord").alias("item"))
+
+
+def near_dup_variants_all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy survivors among all pairs."""
+    return dedup.MinHashDedup(use_lsh=False)(variants(spark, sf_dir), F.col("text")).select(F.col("_ord").alias("item"))
+
+
+def similarity_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greatest similarity of each row, with the table's share of near duplicates."""
+    dedup.checkpoints(spark)
+    rows = dedup.similarity_profile(dedup.signatures(variants(spark, sf_dir)).checkpoint())[1]
+    ratio = profile.near_duplicate_summary(rows)
+    return rows.crossJoin(F.broadcast(ratio)).select(F.col("_ord").alias("item"), "max_similarity", "near_duplicate", "near_duplicates", "ratio")  # one row
+
+
 def score_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each judge's total; none where it failed."""
     scored = scoring.with_scores(judged(spark, sf_dir).withColumnRenamed("scores", "given"), F.col("given"))
@@ -351,7 +377,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         text_quality_by_lang, text_measures, rule_filter, length_distribution, length_histogram, source_frequency_topk, exact_dedup, conversation_dedup, conversation_flatten, format_chatml, format_sharegpt,
         judge_transcript, minhash_signatures, minhash_signatures_all, near_dup_greedy_survivors, similarity_profile, semantic_pairs, semantic_dedup, sentence_segments, structure_chunks, normalized_text, judge_aggregate, judge_median,
-        cleaned_conversations, seed_pairs, validator_texts, dataset_counts, repetition_summary, document_qa_filter, fenced_texts, public_props, plan_breakdown, topic_names, task_types, minhash_neighbours, score_totals,
+        cleaned_conversations, seed_pairs, validator_texts, dataset_counts, repetition_summary, document_qa_filter, fenced_texts, public_props, plan_breakdown, topic_names, task_types, minhash_neighbours, near_dup_variants, near_dup_variants_all_pairs, similarity_variants, score_totals,
         score_filter, score_distributions, parse_props_json, plan_slots, context_reference_filter, length_ratio_filter, angle_dedup, execution_batches, backtranslation_documents, cosine_to_label_mean,
     )
 }
@@ -404,7 +430,22 @@ _TURNS = "SELECT conv_id, coalesce(string_agg(coalesce(text, ''), ' ' ORDER BY t
 _CODES = ", ".join(f"({i}, '{en}', '{zh}')" for i, (en, zh) in enumerate(prompts.TOPICS.values()))
 _SEEDS = "SELECT conv_id, arg_min(coalesce(text, ''), turn) FILTER (role = 'user') AS instruction, arg_min(coalesce(text, ''), turn) FILTER (role = 'assistant') AS output FROM conversations GROUP BY conv_id"
 
+_VARIANTS = """(SELECT item_id * 4 + k AS item, CASE k WHEN 1 THEN substr(text, 1, length(text) - 10) WHEN 2 THEN text || ' ' || text ELSE text END AS text FROM benchmark, (VALUES (0), (1), (2), (3)) x(k)) y"""
+_MEET = f"s AS ({_signatures_sql(128, _VARIANTS, 'item')}), m AS (SELECT a.doc_id AS i, b.doc_id AS j, a.perm FROM s a JOIN s b ON a.perm = b.perm AND a.value = b.value AND a.doc_id < b.doc_id)"
+_GREEDY = """o AS (SELECT j, list(i) AS low, row_number() OVER (ORDER BY j) AS k FROM p GROUP BY j),
+g(k, gone) AS (SELECT 0::BIGINT, []::BIGINT[] UNION ALL SELECT g.k + 1, CASE WHEN len(list_filter(o.low, lambda x: NOT list_contains(g.gone, x))) > 0 THEN list_append(g.gone, o.j) ELSE g.gone END FROM g JOIN o ON o.k = g.k + 1),
+z AS (SELECT unnest(gone) AS id FROM g WHERE k = (SELECT max(k) FROM g))"""
+
+
+def _candidates(rows: int) -> str:
+    return f"c AS (SELECT i, j FROM (SELECT i, j, perm // {rows} AS band, count(*) AS n FROM m WHERE perm < {128 // rows * rows} GROUP BY ALL) WHERE n = {rows} GROUP BY i, j)"
+
+
 ORACLES: dict[str, str] = {
+    "near_dup_variants": f"WITH RECURSIVE {_MEET}, {_candidates(6)}, p AS (SELECT i, j FROM m JOIN c USING (i, j) GROUP BY i, j HAVING count(*) / 128 >= 0.7), {_GREEDY} SELECT DISTINCT doc_id AS item FROM s WHERE doc_id NOT IN (SELECT id FROM z)",
+    "near_dup_variants_all_pairs": f"WITH RECURSIVE {_MEET}, p AS (SELECT i, j FROM m GROUP BY i, j HAVING count(*) / 128 >= 0.7), {_GREEDY} SELECT DISTINCT doc_id AS item FROM s WHERE doc_id NOT IN (SELECT id FROM z)",
+    "similarity_variants": f"WITH {_MEET}, {_candidates(4)}, e AS (SELECT i, j, count(*) / 128 AS sim FROM m JOIN c USING (i, j) GROUP BY i, j), b AS (SELECT i AS item, sim FROM e UNION ALL SELECT j, sim FROM e), r AS (SELECT d.item, coalesce(max(sim), 0) AS max_similarity FROM (SELECT DISTINCT doc_id AS item FROM s) d LEFT JOIN b USING (item) GROUP BY d.item) SELECT *, max_similarity >= 0.7 AS near_duplicate, count(*) FILTER (max_similarity >= 0.7) OVER () AS near_duplicates, count(*) FILTER (max_similarity >= 0.7) OVER () / count(*) OVER () AS ratio FROM r",
+    "semantic_dedup": f"WITH RECURSIVE p AS (SELECT a.vec_id AS i, b.vec_id AS j FROM embeddings a JOIN embeddings b ON a.vec_id < b.vec_id WHERE list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) >= 0.4), {_GREEDY} SELECT vec_id, label FROM embeddings WHERE vec_id NOT IN (SELECT id FROM z)",
     "cleaned_conversations": f"""WITH v AS ({_TURNS}), w AS (SELECT *, {WORDS.replace('text', 'output')} AS w FROM v),
 g AS (SELECT conv_id, count(*) AS c, count(DISTINCT x) AS d FROM (SELECT conv_id, unnest(list_transform(range(1, len(w) - 3), lambda i: w[i] || chr(1) || w[i+1] || chr(1) || w[i+2] || chr(1) || w[i+3] || chr(1) || w[i+4])) AS x FROM w WHERE len(w) >= 5) GROUP BY conv_id),
 k AS (SELECT v.* FROM v LEFT JOIN g USING (conv_id) WHERE length(instruction) BETWEEN 20 AND 4000 AND length(output) BETWEEN 40 AND 3000 AND coalesce((c - d) / c, 0) <= 0.4)
