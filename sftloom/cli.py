@@ -50,7 +50,7 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     rows = readers.read_samples(spark, args.file, settings.cleaner.field_map)
     if args.verb == "clean":
-        writers.write_cleaned(pipeline.clean_rows(rows, settings.cleaner), args.output or args.file.replace(".jsonl", "_cleaned.jsonl"), "overwrite")
+        writers.write_cleaned(pipeline.clean_rows(rows, settings.cleaner), args.output or writers.derived_path(args.file, "cleaned"), "overwrite")
     elif args.verb == "score":
         settings.scoring.enabled = True
         ctx = pipeline.Context(spark, settings, client(settings))

@@ -24,6 +24,8 @@ from .strategies import STRATEGIES, Composite, Generator
 class Observer(Protocol):
     def on_start(self, stage: str) -> None: ...
 
+    def on_samples(self, strategy: str, succeeded: int) -> None: ...
+
     def on_complete(self, stage: str, counts: dict[str, Any]) -> None: ...
 
 
@@ -31,6 +33,9 @@ class LogObserver:
     def on_start(self, stage: str) -> None:
         print(f"{stage}: begins")
 
+    def on_samples(self, strategy: str, succeeded: int) -> None:
+        print(f"{strategy}: {succeeded} samples")
+
     def on_complete(self, stage: str, counts: dict[str, Any]) -> None:
         print(f"{stage}: {counts}")
 
@@ -43,6 +48,10 @@ class CompositeObserver:
         for o in self.observers:
             o.on_start(stage)
 
+    def on_samples(self, strategy: str, succeeded: int) -> None:
+        for o in self.observers:
+            o.on_samples(strategy, succeeded)
+
     def on_complete(self, stage: str, counts: dict[str, Any]) -> None:
         for o in self.observers:
             o.on_complete(stage, counts)
@@ -210,6 +219,9 @@ def run(ctx: Context, rows: DataFrame | None = None, observer: Observer | None =
                 raise
             continue
         if observer:
+            if name == "generate" and rows is not None and hasattr(observer, "on_samples"):
+                for r in profile.frequency(rows, "strategy").collect():  # a row for each strategy
+                    observer.on_samples(r[0], r[1])
             observer.on_complete(name, ctx.counts.get(name, {}))
     if rows is not None and not ctx.config.dry_run and not rows.isEmpty():
         writers.write_jsonl(rows, ctx.config.output.path, ctx.config.output.format, "overwrite")

@@ -36,6 +36,14 @@ def pick(values: list[str], u: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), (F.floor(u * len(values)) + 1).cast("int"))
 
 
+def decode_id(value: Column, *names: str) -> Column:
+    """The parts of a prompt's id between colons, as a struct; parts that are missing are null, and the first keeps colons of its own."""
+    parts = F.reverse(F.split(value, ":"))
+    last = [F.get(parts, F.lit(len(names) - 1 - i)).alias(n) for i, n in enumerate(names) if i]
+    first = F.array_join(F.reverse(F.slice(parts, len(names), F.greatest(F.size(parts) - len(names) + 1, F.lit(0)))), ":")
+    return F.struct(F.nullif(first, F.lit("")).alias(names[0]), *last)
+
+
 def with_index(df: DataFrame, *order: Column | str, name: str = "_index") -> DataFrame:
     """Row numbers from 0 in the given order, without one task that sees all rows; the ranges are written, for they are read twice."""
     ranged = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
@@ -174,27 +182,30 @@ class SeedDriven(Generator):
         topic = F.coalesce(F.lit(fixed), F.get(F.col("e"), F.lit(0))["topic"], pick(self.params.get("topics", ["general"]), uniform(self.seed, "topic", F.col("id"))))
         return grouped.withColumn("topic", topic)
 
-    def mutation(self) -> tuple[Column, Column]:
-        """Name and instruction of the mutation, by weight."""
-        given = [m for m in self.params.get("mutations") or [] if isinstance(m, dict) and m.get("name") and m.get("instruction") and float(m.get("weight", 1)) >= 0]
+    def mutation(self) -> tuple[Column, Column, dict[str, Column]]:
+        """Name and instruction of the mutation, by weight, and the dimensions that its value stands for; definitions without an instruction are left out."""
+        given = [{"name": "custom", **m} for m in self.params.get("mutations") or [] if isinstance(m, dict) and m.get("instruction") and float(m.get("weight", 1)) >= 0]
         known = given or [{"name": "rephrase", "instruction": "Ask for the same in another way.", "weight": 1.0}]
         total = sum(float(m.get("weight", 1)) for m in known) or 1.0
         u, at = uniform(self.seed, "mutation", F.col("id")), 0.0
         name = text = F
+        stands: dict[str, Column] = {"difficulty": F.when(F.lit(False), ""), "question_type": F.when(F.lit(False), "")}
         for m in known:
             at += float(m.get("weight", 1)) / total
-            values = m.get("values") or [""]
-            chosen = pick([m["instruction"].replace("{value}", str(v)) for v in values], uniform(self.seed, "value", F.col("id")))
+            values, which = m.get("values") or [""], uniform(self.seed, "value", F.col("id"))
+            chosen = pick([m["instruction"].replace("{value}", str(v)) for v in values], which)
             name, text = name.when(u < at + 1e-12, m["name"]), text.when(u < at + 1e-12, chosen)
-        return name, text
+            for d, c in stands.items():
+                stands[d] = c.when(u < at + 1e-12, pick([str(v) for v in values], which) if m.get("override_field") == d and m.get("values") else None)
+        return name, text, stands
 
     def generate(self, spark: SparkSession, seeds: DataFrame | None = None) -> DataFrame:
         given = self.table(spark, "seeds", seeds)
         rows = self.prompts(spark, given)
-        name, text = self.mutation()
+        name, text, stands = self.mutation()
         rows = rows.withColumns({"mutation": F.when(F.col("mode") == "mutate", name), "directive": F.when(F.col("mode") == "mutate", text).when(F.col("mode") == "crossover", F.lit("Combine what both examples ask for."))})
         kinds = {"question_type": DIMENSIONS["question_type"], "difficulty": DIMENSIONS["difficulty"]}
-        rows = rows.withColumns({d: F.coalesce(F.lit(self.params.get(d)), pick(v, uniform(self.seed, d, F.col("id")))) for d, v in kinds.items()})
+        rows = rows.withColumns({d: F.coalesce(F.when(F.col("mode") == "mutate", stands[d]), F.lit(self.params.get(d)), pick(v, uniform(self.seed, d, F.col("id")))) for d, v in kinds.items()})
         keys = KEYS["seed_multi_turn" if self.params.get("multi_turn") else "seed"]
         asked = rows.withColumn("prompt", prompt("seed", labelled("Topic", F.col("topic")), labelled("Kind of question", F.col("question_type")), labelled("Difficulty", F.col("difficulty")), F.col("directive"), F.array_join(F.col("e")["x"], "\n\n"), keys, lang=self.lang))
         return parsing.parse_samples(self.ask(asked.drop("e"))).withColumn("strategy", F.lit("seed_driven")).withColumn("id", F.col("id").cast("string"))
@@ -212,7 +223,7 @@ class EvolInstruct(Generator):
         return out
 
     def evolve(self, pool: DataFrame, round_: int) -> DataFrame:
-        """Valid rewritings of a pool of (id, instruction, chain, topic)."""
+        """Valid rewritings of a pool of (id, seed_index, instruction, chain, topic)."""
         depth, breadth = min(1.0, max(0.0, float(self.params.get("depth_rate", 1.0)))), int(self.params.get("branch_factor", 1))
         kinds = list(self.params.get("depth_operators", DEPTH))
         u = uniform(self.seed, "depth", F.lit(round_), F.col("id"))
@@ -223,11 +234,11 @@ class EvolInstruct(Generator):
         got = self.ask(rows, PLAIN).withColumn("evolved", T.clean_evolved(F.coalesce("reply", F.lit(""))))
         low, high = float(self.params.get("min_length_ratio", 0.5)), float(self.params.get("max_length_ratio", 5.0))
         got = got.where(quality.evolution_is_valid(F.col("evolved"), F.col("instruction"), low, high))
-        return got.select(F.concat_ws(".", "id", "job").alias("id"), "topic", F.col("evolved").alias("instruction"), F.concat("chain", F.array("evolution_type")).alias("chain"), F.lit(round_).alias("evolution_round"))
+        return got.select(F.concat_ws(".", "id", "job").alias("id"), "seed_index", "topic", F.col("evolved").alias("instruction"), F.concat("chain", F.array("evolution_type")).alias("chain"), F.lit(round_).alias("evolution_round"))
 
     def generate(self, spark: SparkSession, seeds: DataFrame | None = None) -> DataFrame:
         given = self.table(spark, "seeds", seeds).where(F.length(T.strip("instruction")) > 0)
-        first = given.select(F.col("_ord").cast("string").alias("id"), (F.col("topic") if "topic" in given.columns else F.lit("")).alias("topic"), "instruction", F.array().cast("array<string>").alias("chain"), F.lit(0).alias("evolution_round"))
+        first = given.select(F.col("_ord").cast("string").alias("id"), F.col("_ord").cast("long").alias("seed_index"), (F.col("topic") if "topic" in given.columns else F.lit("")).alias("topic"), "instruction", F.array().cast("array<string>").alias("chain"), F.lit(0).alias("evolution_round"))
         pool, rounds = first, []
         for r in range(1, int(self.params.get("rounds", 1)) + 1):
             pool = self.evolve(pool, r)

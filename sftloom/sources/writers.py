@@ -6,7 +6,7 @@ import json
 import os
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from sftloom.operators.reshape import format_records
@@ -19,8 +19,15 @@ def write_jsonl(df: DataFrame, path: str, kind: str = "alpaca", mode: str = "err
     rows.select(F.to_json("record").alias("value")).write.mode(mode).text(path)
 
 
-def append_jsonl(df: DataFrame, path: str, kind: str = "alpaca") -> None:
-    write_jsonl(df, path, kind, "append")
+def append_jsonl(df: DataFrame, path: str, kind: str = "alpaca", count_path: str | None = None) -> None:
+    """Append rows; with ``count_path``, a JSON file there counts all rows appended so far (counted while they are written)."""
+    if count_path is None:
+        write_jsonl(df, path, kind, "append")
+        return
+    seen = Observation()
+    write_jsonl(df.observe(seen, F.count(F.lit(1)).alias("n")), path, kind, "append")
+    before = json.loads(Path(count_path).read_text("utf-8"))["count"] if os.path.exists(count_path) else 0
+    save_report({"count": before + seen.get["n"]}, count_path)
 
 
 def write_cleaned(df: DataFrame, path: str, mode: str = "error") -> None:
@@ -29,9 +36,14 @@ def write_cleaned(df: DataFrame, path: str, mode: str = "error") -> None:
     df.select(F.to_json(F.struct(*fields)).alias("value")).write.mode(mode).text(path)
 
 
+def derived_path(path: str, suffix: str) -> str:
+    """The path with a suffix before its end; a path that has it stays as it is."""
+    stem, _, _ = path.rpartition(".jsonl")
+    return path if path.endswith(f"_{suffix}.jsonl") else f"{stem or path}_{suffix}.jsonl"
+
+
 def scored_path(path: str) -> str:
-    stem, dot, _ = path.rpartition(".jsonl")
-    return f"{stem or path}_scored.jsonl"
+    return derived_path(path, "scored")
 
 
 def report_path(path: str) -> str:

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from sftloom import cli
 from sftloom.operators import dedup, profile
 from sftloom.plans import clients, config, pipeline, prompts, strategies
-from sftloom.sources import readers
+from sftloom.sources import readers, writers
 
 
 def test_default_clean_of_a_mixed_file(spark, tmp_path):
@@ -102,3 +102,27 @@ def test_crossovers_pair_any_two_seeds(spark):
 def test_plan_breakdown(spark):
     plan = spark.createDataFrame([("t", "s"), ("t", "s"), ("t", ""), (None, None)], "topic string, sub_topic string")
     assert sorted(map(tuple, profile.plan_breakdown(plan).collect())) == [("(unknown)", "(unnamed)", 1), ("t", "(unnamed)", 1), ("t", "s", 2)]
+
+
+def test_mutation_values_stand_for_dimensions(spark):
+    seeds = spark.createDataFrame([(i, f"q{i}", f"a{i}") for i in range(3)], "_ord long, instruction string, output string")
+    made = strategies.SeedDriven(clients.StubClient(), {"count": 30, "mutation_rate": 1.0, "mutations": ["bad", {"name": "none"}, {"instruction": "Make it {value}.", "values": ["hard", "easy"], "override_field": "difficulty"}]})
+    name, text, stands = made.mutation()
+    rows = spark.range(30).select(name.alias("name"), text.alias("text"), stands["difficulty"].alias("d"), stands["question_type"].alias("q")).distinct().collect()
+    assert {(r.name, r.text, r.d, r.q) for r in rows} == {("custom", f"Make it {v}.", v, None) for v in ("hard", "easy")}
+    assert made.generate(spark, seeds).count() == 30
+
+
+def test_ids_paths_counts_and_exports(spark, tmp_path):
+    import sftloom
+
+    ids = spark.createDataFrame([("a:b:3:1",), ("t:2",), (None,)], "id string").select(strategies.decode_id(F.col("id"), "topic", "batch", "item").alias("d")).collect()
+    assert [r.d and tuple(r.d) for r in ids][:2] == [("a:b", "3", "1"), (None, "t", "2")]
+    assert writers.derived_path("a/b.jsonl", "cleaned") == "a/b_cleaned.jsonl" == writers.derived_path("a/b_cleaned.jsonl", "cleaned")
+    df = spark.createDataFrame([(0, "i", "o"), (1, "j", "p")], "_ord long, instruction string, output string")
+    for n in (2, 4):
+        writers.append_jsonl(df, str(tmp_path / "out"), count_path=str(tmp_path / "count.json"))
+        assert json.loads((tmp_path / "count.json").read_text()) == {"count": n}
+    assert all(getattr(sftloom, n) is not None for n in sftloom.__all__) and sftloom.read_samples is readers.read_samples
+    with pytest.raises(AttributeError):
+        sftloom.nothing
