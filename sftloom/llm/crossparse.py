@@ -42,7 +42,7 @@ from .jaccard import mix, span_hash
 
 SLICE, BUCKET = 2 << 20, 1 << 21
 LENGTHS = [*range(1, 17), *(2**k * m // 4 for k in range(4, 31) for m in (5, 6, 7, 8))]
-JOBS = [(1, 2), (3, 4), (5, 8), (9, 12), (13, 20)]  # first and last length, counted from 1; then eight at a time
+JOBS = [(1, 2), (3, 4), (5, 8), (9, 16), (17, 28)]  # first and last length, counted from 1; then twelve at a time
 META, LIVE, DONE, BITS = range(4)
 ROW = "kind int, slice long, bucket long, n long, bits binary, keys binary, own binary, bounds binary, at binary, owner binary, vocab binary, codes binary, level binary"
 NAMES = [x.split()[0] for x in ROW.split(", ")]
@@ -54,6 +54,8 @@ SPACE[[9, 10, 11, 12, 13, 32]] = True
 LETTER = np.zeros(256, bool)
 LETTER[[*range(48, 58), *range(65, 91), *range(97, 123), *range(0xC3, 0xE0)]] = True
 KEY = 44
+LONG = 4096
+MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 LOW48, LOWKEY = np.uint64((1 << 48) - 1), np.uint64((1 << KEY) - 1)
 
 
@@ -108,6 +110,22 @@ def row(**values) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(made.get(f.name, [None]), f.type) for f in FIELDS], schema=FIELDS)
 
 
+def word_hash(raw: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Hash of each span, eight bytes at a time; very long ones by ``span_hash``."""
+    size = stop - begin
+    eight = np.ndarray((len(raw) + 1,), "<u8", buffer=np.concatenate([raw, np.zeros(8, np.uint8)]), strides=(1,))
+    out, which = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), np.flatnonzero(size <= LONG)
+    at, left = begin[which], size[which]
+    while len(which):
+        h = (out[which] ^ (eight[at] & MASK[np.minimum(left, 8)])) * np.uint64(0xBF58476D1CE4E5B9)
+        out[which] = h ^ (h >> np.uint64(31))
+        more = np.flatnonzero(left > 8)
+        which, at, left = which[more], at[more] + 8, left[more] - 8
+    long = np.flatnonzero(size > LONG)
+    out[long] = span_hash(raw, begin[long], stop[long])
+    return mix(out, 52)
+
+
 def symbols(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all symbols, and the texts' bounds in them."""
     space, after = SPACE[raw], (raw & 0xC0) == 0x80
@@ -122,21 +140,20 @@ def symbols(raw: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(start | space)
     which = np.flatnonzero(start[edge])
     begin, stop = edge[which], np.append(edge, len(raw))[which + 1]
-    return span_hash(raw, begin, stop) & LOW48, np.searchsorted(begin, ends)
+    return word_hash(raw, begin, stop) & LOW48, np.searchsorted(begin, ends)
 
 
 def own_phrases(codes: list[int]) -> int:
     """Phrases of the incremental parsing: each is the longest earlier phrase and one symbol more."""
     tree: dict[int, int] = {}
-    node, phrases = 0, 0
-    get = tree.get
+    node, new, one = 0, 1 << 32, 1 << 32
+    enter = tree.setdefault
     for c in codes:
-        key = node | c
-        node = get(key, 0)
-        if not node:
-            phrases += 1
-            tree[key] = phrases << 32
-    return phrases + (node != 0)
+        node = enter(node | c, new)
+        if node == new:
+            new += one
+            node = 0
+    return len(tree) + (node != 0)
 
 
 def slice_batches(batches: Batches) -> Iterator[pa.RecordBatch]:
@@ -379,8 +396,8 @@ class Tables:
 
 def jobs() -> Iterator[tuple[int, int]]:
     yield from JOBS
-    for first in range(JOBS[-1][1] + 1, len(LENGTHS) - 8, 8):
-        yield first, first + 7
+    for first in range(JOBS[-1][1] + 1, len(LENGTHS) - 12, 12):
+        yield first, first + 11
 
 
 def phrase_counts(texts: DataFrame, tables: Tables) -> DataFrame:

@@ -57,7 +57,7 @@ def lz78(symbols):
 
 
 def test_symbols():
-    texts = ["", " ", "ab, c\td'é¿x 文字 a1 ß🙂z", "x", "ᚠᚡ q", "\xa0b\x00c"]
+    texts = ["q" * 5000, "q" * 5001, "abcdefgh", "abcdefghi", "abcdefghj", "", " ", "ab, c\td'é¿x 文字 a1 ß🙂z", "x", "ᚠᚡ q", "\xa0b\x00c"]
     raw = np.frombuffer("".join(texts).encode(), np.uint8)
     ends = np.concatenate([[0], np.cumsum([len(t.encode()) for t in texts])])
     hashes, bounds = c.symbols(raw, ends)
