@@ -16,13 +16,14 @@ SLICE = 512 << 10
 
 
 def slices(texts: pa.Array) -> Iterator[pa.Array]:
-    texts = texts.cast(pa.large_string()).fill_null("")
-    size = np.cumsum(np.asarray(pc.binary_length(texts), np.int64))
+    """Parts of at most ``SLICE`` bytes, or one text; only one part is copied at a time."""
+    size = np.cumsum(np.asarray(pc.binary_length(texts).fill_null(0), np.int64))
     at = 0
     while at < len(texts):
         to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE, side="right")))
-        yield texts.slice(at, to - at)
+        yield texts.slice(at, to - at).cast(pa.large_string()).fill_null("")
         at = to
+    pa.default_memory_pool().release_unused()
 
 
 def by_slice(texts: pa.Array, of: Callable[[pa.Array], np.ndarray]) -> pa.Array:

@@ -7,10 +7,12 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sftloom.functions import windows
+
 Embed = Callable[[Sequence[str]], Sequence[Sequence[float]]]
 BLANK = re.compile(r"\n\s*\n+")
 ENDS = ".!?;" + "。！？；"
@@ -95,10 +97,16 @@ def chunk(text: str | None, config: Chunking, embed: Embed | None = None) -> lis
     return out
 
 
+def chunk_arrays(texts: pa.Array, config: Chunking, embed: Embed | None = None) -> pa.Array:
+    """Chunks of each text. They leave each slice as Arrow, so that Python's strings are those of one slice."""
+    kind = pa.list_(pa.string())
+    return pa.concat_arrays([pa.array([chunk(t, config, embed) for t in part.to_pylist()], kind) for part in windows.slices(texts)] or [pa.array([], kind)])
+
+
 def chunks_column(text: Column | str, config: Chunking = Chunking(), embed: Embed | None = None) -> Column:
-    @F.pandas_udf("array<string>")
-    def udf(column: pd.Series) -> pd.Series:
-        return column.map(lambda t: chunk(t, config, embed))
+    @F.arrow_udf("array<string>")
+    def udf(texts: pa.Array) -> pa.Array:
+        return chunk_arrays(texts, config, embed)
 
     return udf(text)
 
