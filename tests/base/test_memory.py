@@ -2,9 +2,10 @@
 
 import tracemalloc
 
+import numpy as np
 import pyarrow as pa
 
-from sftloom.operators import chunking
+from sftloom.operators import chunking, dedup
 
 
 def test_chunks_of_a_batch_by_slices():
@@ -16,3 +17,19 @@ def test_chunks_of_a_batch_by_slices():
     tracemalloc.stop()
     assert peak < batch.nbytes / 3
     assert got.to_pylist() == [chunking.chunk(t, chunking.Chunking()) for t in texts]
+
+
+def test_similar_vectors_of_two_blocks_by_strips():
+    rnd = np.random.default_rng(3)
+    v = rnd.normal(size=(4096, 16))
+    v[1::2] = v[::2] + rnd.normal(scale=0.01, size=(2048, 16))
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    sims = v @ v.T
+    threshold = float(np.sort(sims[np.triu_indices(4096, 1)])[-1500])  # a pair's own similarity: single precision alone would miss it
+    tracemalloc.start()
+    p, q, s = dedup.cosine(threshold)(v, v)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    i, j = np.nonzero(sims >= threshold - 1e-12)
+    assert (p == i).all() and (q == j).all() and np.abs(s - sims[i, j]).max() < 1e-12
+    assert peak < sims.nbytes / 4
