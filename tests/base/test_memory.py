@@ -5,6 +5,7 @@ import tracemalloc
 import numpy as np
 import pyarrow as pa
 
+from sftloom.functions import windows
 from sftloom.operators import chunking, dedup
 
 
@@ -33,3 +34,20 @@ def test_similar_vectors_of_two_blocks_by_strips():
     i, j = np.nonzero(sims >= threshold - 1e-12)
     assert (p == i).all() and (q == j).all() and np.abs(s - sims[i, j]).max() < 1e-12
     assert peak < sims.nbytes / 4
+
+
+def test_measures_of_a_batch_hold_one_slice():
+    rnd = np.random.default_rng(5)
+    words = np.array(["".join(w) for w in rnd.choice(list("abcdefgh"), (3000, 5))])
+    texts = pa.array([" ".join(rnd.choice(words, 700)) for _ in range(2000)])
+
+    def peak(of, batch):
+        tracemalloc.start()
+        of(batch)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most
+
+    for of in (lambda t: windows.repetition(t, 5), lambda t: windows.diversity(t, 3, "char"), windows.longest_runs):
+        small, large = peak(of, texts.slice(0, 300)), peak(of, texts)
+        assert large < 1.2 * small
